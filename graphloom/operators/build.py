@@ -49,13 +49,11 @@ def _id(template: Template, place: Place, value: Column) -> Column:
     return F.when(value.isNotNull() & filled, node_id(place.model, {n: value[n] for n in names}))
 
 
-def records(df: DataFrame, order: list[str]) -> DataFrame:
-    """The records with their place among all, from columns that order them totally."""
-    return df.select(F.struct(*order).alias("__order"), F.struct(*df.columns).alias("__root"))
-
-
 def build(df: DataFrame, template: Template, order: str, references: bool = True) -> Graph:
-    """df: one row a record in the template's shape; order: the column whose values put the records in order."""
+    """df: one row a record in the template's shape; order: the column whose values put the records in order.
+
+    Each place of the template scans df anew with its own columns alone, so df is to be a table, not a costly plan.
+    """
     places = {p.path: p for p in template.places(references)}
     base = df.select(F.col(order).cast("long").alias("__rec"), F.struct(*df.columns).alias("__v"))
     nodes, edges = [], []
@@ -77,7 +75,8 @@ def build(df: DataFrame, template: Template, order: str, references: bool = True
         out_edges = e if out_edges is None else out_edges.unionByName(e)
     if out_edges is None:
         out_edges = base.limit(0).select(F.lit("").alias("src"), F.lit("").alias("dst"), F.lit("").alias("label"), F.struct(F.col("__rec").alias("rec"), F.lit(0).alias("place"), F.lit("").alias("ix")).alias("pos"), F.lit(False).alias("closed"))
-    return Graph(first_values(out_nodes), last_edges(out_edges))
+    keys = sorted({f.name for p in places.values() for f in template.model(p.model).fields if (m := template.model(f.type)) is None or not m.entity})
+    return Graph(first_values(out_nodes, keys), last_edges(out_edges))
 
 
 def _reach(base: DataFrame, places: dict[str, Place], p: Place) -> tuple[DataFrame, list[str]]:
@@ -96,13 +95,22 @@ def _reach(base: DataFrame, places: dict[str, Place], p: Place) -> tuple[DataFra
     return df.filter(F.col("__v").isNotNull()), []
 
 
-def first_values(nodes: DataFrame) -> DataFrame:
-    """One row a node: of each attribute the first value that isn't empty, in the order of pos. Two shuffles by keys, both with partial aggregation."""
-    one = nodes.groupBy("node_id").agg(F.min_by("class", "pos").alias("class"), F.min("pos").alias("pos"))
+def first_values(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row a node: of each attribute the first value that isn't empty, in the order of pos.
+
+    With the keys known, as from a template, one aggregation by node with an aggregate for each key; else the attributes are taken apart and grouped by node and key.
+    """
+    one = [F.min_by("class", "pos").alias("class"), F.min("pos").alias("pos")]
+    if keys is not None:
+        full = lambda k: ~F.coalesce(F.col("attrs")[k], F.lit("")).isin("", "[]", "{}")
+        firsts = [F.min_by(F.col("attrs")[k], F.when(full(k), F.col("pos"))).alias(f"__{i}") for i, k in enumerate(keys)]
+        entries = F.array(*(F.struct(F.lit(k).alias("key"), F.col(f"__{i}").alias("value")) for i, k in enumerate(keys)))
+        entries = entries if keys else F.array().cast("array<struct<key:string,value:string>>")
+        return nodes.groupBy("node_id").agg(*one, *firsts).select("node_id", "class", "pos", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("attrs"))
     long = nodes.select("node_id", "pos", F.explode("attrs").alias("key", "value")).filter("value <> '' and value <> '[]' and value <> '{}'")
     values = long.groupBy("node_id", "key").agg(F.min_by("value", "pos").alias("value"))
     attrs = values.groupBy("node_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attrs"))
-    return one.join(attrs, "node_id", "left").select("node_id", "class", "pos", "attrs")
+    return nodes.groupBy("node_id").agg(*one).join(attrs, "node_id", "left").select("node_id", "class", "pos", "attrs")
 
 
 def last_edges(edges: DataFrame) -> DataFrame:
