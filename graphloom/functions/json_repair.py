@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FENCE = r"(?s)```(?:json|JSON)?\s*(.*?)```"
 
@@ -217,7 +218,7 @@ def leaves_filled(value) -> int:
     return int(bool(str(value).strip()))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def count_filled(s: pd.Series) -> pd.Series:
     """Filled leaves of JSON texts; 0 for null and unsound ones."""
 

@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col(c: Column | str) -> Column:
@@ -241,7 +242,7 @@ def _ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, sort(a), sort(b), autojunk=False).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of the sorted words by matching blocks, 0 to 1; null if either is null."""
     return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b)], dtype="float64")
