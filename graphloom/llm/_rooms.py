@@ -1,14 +1,17 @@
 """Joins of documents by their sets of word n-grams.
 
 Documents with equal sets are first drawn together. Each then gets K keys from its
-grams; documents that agree in a key meet in that key's room. Each set is sent only to
-rooms in which it meets a document that it didn't meet under an earlier key, and there
-a function of the operator finds the pairs.
+grams; documents that agree in a key meet in that key's room. First only marks go to the
+rooms: the keys, shortened to 16 bits, and a sketch of one byte for each of further
+minima. They tell which documents meet there for the first time, and which are too
+unlike by their sketches. Then the texts of those that remain go to these rooms alone,
+where a function of the operator finds the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -17,57 +20,87 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._stage import importable, sized, staged
-from ._text import gram_sets, mix, slices
+from ._text import gram_sets, slices
 
-#: keys(set) -> uint32 array of K keys.
-Keys = Callable[[list[np.ndarray]], np.ndarray]
+#: keys(sets) -> uint32 array of K keys, and uint8 array of the sketch, a row for each set.
+Keys = Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
 #: pairs(sets, new, t) -> (i, j, overlap) of the pairs i > j for which new(i) holds j and the Jaccard similarity is t at least.
 Pairs = Callable[[list[np.ndarray], "New", float], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-#: Rooms up to this size send only the sets that are needed in them; larger ones send all, which costs traffic but finds the same.
-PRUNE_BELOW = 1500
+#: Rooms up to this size send only the texts that are needed in them; larger ones send all, which costs traffic but finds the same.
+PRUNE_BELOW = 20_000
+#: The probability at which the sketch may pass over a pair that is just similar enough.
+MISSED = 0.005
 
 
-def room_ids(keys: np.ndarray) -> np.ndarray:
-    """A 64-bit id for each key and its place among the keys."""
-    return mix(keys.astype(np.uint64) ^ (np.arange(1, keys.shape[1] + 1, dtype=np.uint64) << np.uint64(32))[None, :])
+def least_agreeing(size: int, t: float, missed: float = MISSED) -> int:
+    """So many bytes of a sketch must agree that a pair of similarity t is passed over with at most the given probability."""
+    total = 0.0
+    for c in range(size + 1):
+        total += comb(size, c) * t**c * (1 - t) ** (size - c)
+        if total > missed:
+            return c
+    return size
 
 
 class New:
-    """Which documents of a room meet there for the first time."""
+    """Which documents of a room meet there for the first time and are alike by their sketches. keys: 16 bits each; sketch: a byte for each minimum."""
 
-    def __init__(self, keys: np.ndarray, slot: int):
-        self.keys = np.ascontiguousarray(keys[:, :slot])
+    def __init__(self, keys: np.ndarray, slot: int, sketch: np.ndarray | None = None, least: int = 0):
+        self.keys, self.least = np.ascontiguousarray(keys[:, :slot]), least
+        self.sketch = sketch if least else None
+
+    def _fits(self, i: int, end: int) -> np.ndarray:
+        out = np.ones(end, bool)
+        if self.keys.shape[1]:
+            out &= ~(self.keys[:end] == self.keys[i]).any(axis=1)
+        if self.sketch is not None:
+            out &= (self.sketch[:end] == self.sketch[i]).sum(axis=1) >= self.least
+        return out
 
     def __call__(self, i: int) -> np.ndarray:
-        """Places below i of the documents that agree with document i in no earlier key."""
-        if not self.keys.shape[1]:
-            return np.arange(i)
-        return np.flatnonzero(~(self.keys[:i] == self.keys[i]).any(axis=1))
+        """Places below i."""
+        return np.flatnonzero(self._fits(i, i))
+
+    def needed(self) -> np.ndarray:
+        """Which documents have any such partner."""
+        m = len(self.keys)
+        if m > PRUNE_BELOW:
+            return np.ones(m, bool)
+        out = np.zeros(m, bool)
+        for i in range(1, m):
+            at = self(i)
+            if len(at):
+                out[i] = True
+                out[at] = True
+        return out
+
+
+def _stack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1) if len(x) else np.zeros((0, 0), np.uint8)
+
 
+def _split(marks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit keys and sketches."""
+    return np.ascontiguousarray(marks[:, : 2 * k]).view(np.uint16), np.ascontiguousarray(marks[:, 2 * k :])
 
-def _needed(keys: np.ndarray, slot: int) -> np.ndarray:
-    m = len(keys)
-    if slot == 0 or m > PRUNE_BELOW:
-        return np.ones(m, bool)
-    met = np.eye(m, dtype=bool)
-    for j in range(slot):
-        met |= keys[:, None, j] == keys[None, :, j]
-    return ~met.all(axis=1)
+
+def _runs(x: np.ndarray) -> list[int]:
+    return [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Whole groups of rows that are sorted by the column; a group may lie in several batches, and several small ones come together in no way."""
+    """Whole groups of rows that are sorted by the column; a group may lie in several batches."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
         x = b[column].to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(x[1:] != x[:-1]) + 1
         if held and held[-1][column][0].as_py() != x[0]:
             yield pa.Table.from_batches(held)
             held = []
-        at = [0, *cuts.tolist(), b.num_rows]
+        at = _runs(x)
         for a, c in zip(at[:-2], at[1:-1]):
             yield pa.Table.from_batches([*held, b.slice(a, c - a)])
             held = []
@@ -76,13 +109,8 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _stack(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
-    x = column.combine_chunks()
-    return np.frombuffer(b"".join(x.to_pylist()), dtype).reshape(len(x), -1)
-
-
 def representatives(docs: DataFrame, n: int, keys: Keys) -> DataFrame:
-    """Staged (rep, ids, keys, rooms): a row for each distinct set of n-grams, rep the lowest of the ids that have it. Documents without a word have no set and no row."""
+    """Staged (rep, ids, keys, mark): a row for each distinct set of n-grams, rep the lowest of the ids that have it. Documents without a word have no set and no row."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,110 +120,138 @@ def representatives(docs: DataFrame, n: int, keys: Keys) -> DataFrame:
                 if not some:
                     continue
                 sets = [sets[i] for i in some]
-                k = keys(sets).astype(np.uint32)
+                k, sketch = keys(sets)
                 one = np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64)
                 two = np.array([int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7))) ^ len(s) for s in sets], np.uint64)
-                rooms = room_ids(k).astype(np.int64)
+                marks = np.concatenate([(k & np.uint32(0xFFFF)).astype(np.uint16).view(np.uint8).reshape(len(k), -1), sketch], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b["doc_id"].take(pa.array(some)),
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
-                        pa.array([x.tobytes() for x in k], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * k.shape[1]), pa.array(rooms.ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * k.shape[1]), pa.array(k.view(np.int32).ravel())),
+                        pa.array([x.tobytes() for x in marks], pa.binary()),
                     ],
-                    ["doc_id", "one", "two", "keys", "rooms"],
+                    ["doc_id", "one", "two", "keys", "mark"],
                 )
 
-    found = docs.mapInArrow(profile, "doc_id long, one long, two long, keys binary, rooms array<long>")
-    grouped = found.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("ids"), F.min("keys").alias("keys"), F.min("rooms").alias("rooms"))
-    return staged(grouped.select("rep", "ids", "keys", "rooms"))
+    found = docs.mapInArrow(profile, "doc_id long, one long, two long, keys array<int>, mark binary")
+    # keys and mark follow from the set, so any of a group will do
+    grouped = found.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("ids"), F.first("keys").alias("keys"), F.first("mark").alias("mark"))
+    return staged(grouped.select("rep", "ids", "keys", "mark"))
 
 
 def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, jaccard) of representatives, a < b, staged; and the representatives."""
-    spark = docs.sparkSession
-    importable(spark)
+    importable(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
     reps = representatives(own, n, keys)
+    width, sketch_width = (x.shape[1] for x in keys([np.arange(1, 2, dtype=np.uint64)]))
+    least = least_agreeing(sketch_width, t)
 
-    shared = reps.select("rep", F.explode("rooms").alias("room")).withColumn("m", F.count("*").over(Window.partitionBy("room"))).filter("m > 1")
-    candidates = staged(shared.select("rep").distinct())
-    number = candidates.count()
-
-    def open_rooms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = _stack(pa.chunked_array([b["keys"]]), np.uint32)
-            m, width = k.shape if len(b) else (0, 0)
-            at = pa.array(np.repeat(np.arange(m), width))
-            yield pa.RecordBatch.from_arrays([pa.array(room_ids(k).astype(np.int64).ravel()) if m else pa.array([], pa.int64()), pa.array(np.tile(np.arange(width, dtype=np.int32), m), pa.int32()), b["rep"].take(at), b["keys"].take(at)], ["room", "slot", "rep", "keys"])
+    opened = reps.select("rep", F.posexplode("keys").alias("slot", "key")).select("rep", "slot", F.xxhash64("slot", "key").alias("room"))
+    shared = opened.withColumn("m", F.count("*").over(Window.partitionBy("room"))).filter("m > 1").drop("m")
+    seated = staged(shared.groupBy("rep").agg(F.collect_list(F.struct("room", "slot")).alias("at")))
+    entered = seated.join(reps.select("rep", "mark"), "rep").select("rep", "mark", F.inline("at"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rooms, slots = [], [], []
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(rooms), pa.int64()), pa.array(np.concatenate(slots), pa.int32())], ["rep", "room", "slot"])
-            ids.clear(), rooms.clear(), slots.clear()
-            return out
-
-        for g in _groups(batches, "room"):
-            if g.num_rows < 2:
-                continue
-            slot = g["slot"][0].as_py()
-            need = _needed(_stack(g["keys"], np.uint32), slot)
-            if need.any():
-                x = g["rep"].to_numpy()[need]
-                ids.append(x), rooms.append(np.full(len(x), g["room"][0].as_py())), slots.append(np.full(len(x), slot, np.int32))
-                if len(ids) > 5000:
-                    yield flush()
-        if ids:
-            yield flush()
-
-    few = reps.select("rep", "keys").join(sized(candidates, number, 16), "rep", "left_semi")
-    opened = few.mapInArrow(open_rooms, "room long, slot int, rep long, keys binary").repartition("room").sortWithinPartitions("room")
-    seats = opened.mapInArrow(assign, "rep long, room long, slot int").groupBy("rep").agg(F.collect_list(F.struct("room", "slot")).alias("seats"))
-    seats = staged(seats.join(reps.select("rep", "keys"), "rep"))
-    invited = seats.count()
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch):
-                sets = [x.tobytes() for x in gram_sets(b["text"], n)]
-                lists = b["seats"]
-                at = pa.array(np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy(zero_copy_only=False)))
-                flat = lists.flatten()
-                yield pa.RecordBatch.from_arrays([flat.field("room"), flat.field("slot"), b["rep"].take(at), b["keys"].take(at), pa.array(sets, pa.binary()).take(at)], ["room", "slot", "rep", "keys", "set"])
+        for g in _whole(batches):
+            room, slot, marks = g["room"].to_numpy(), g["slot"].to_numpy(), _stack(g["mark"])
+            keys16, sketch = _split(marks, width)
+            at = _runs(room)
+            size = np.diff(at)
+            first = np.asarray(at[:-1])
+            keep = np.zeros(len(room), bool)
+            # rooms of two, which are most, all at once
+            i = first[size == 2]
+            met = ((keys16[i] == keys16[i + 1]) & (np.arange(width)[None, :] < slot[i][:, None])).any(axis=1)
+            ok = ~met & ((sketch[i] == sketch[i + 1]).sum(axis=1) >= least)
+            keep[i[ok]] = keep[i[ok] + 1] = True
+            for a, m in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+                keep[a : a + m] = New(keys16[a : a + m], int(slot[a]), sketch[a : a + m], least).needed()
+            if keep.any():
+                yield from g.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    seats = staged(entered.select("room", "slot", "rep", "mark").repartition("room").sortWithinPartitions("room").mapInArrow(assign, "room long, slot int, rep long, mark binary"))
+    taken = seats.count()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+        found: list[tuple] = []
+        held: list[tuple] = []
+        room = slot = None
+
+        def close() -> None:
+            if len(held) < 2:
+                return
+            rows = sorted(held, key=lambda r: r[0])
+            ids, sets = np.array([r[0] for r in rows]), [r[1] for r in rows]
+            keys16, sketch = _split(np.stack([r[2] for r in rows]), width)
+            i, j, both = pairs(sets, New(keys16, slot, sketch, least), t)
+            if len(i):
+                size = np.array([len(s) for s in sets])
+                apart = ids[i] != ids[j]
+                found.append((ids[j][apart], ids[i][apart], (both / (size[i] + size[j] - both))[apart]))
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["a", "b", "jaccard"])
             found.clear()
             return out
 
-        for g in _groups(batches, "room"):
-            if g.num_rows < 2:
-                continue
-            order = np.argsort(g["rep"].to_numpy(), kind="stable")
-            g = g.take(pa.array(order))
-            ids = g["rep"].to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in g["set"].to_pylist()]
-            i, j, both = pairs(sets, New(_stack(g["keys"], np.uint32), g["slot"][0].as_py()), t)
-            if len(i):
-                size = np.array([len(s) for s in sets])
-                apart = ids[i] != ids[j]
-                found.append((ids[j][apart], ids[i][apart], (both / (size[i] + size[j] - both))[apart]))
+        for batch in batches:
+            for b in slices(batch):
+                sets, marks = gram_sets(b["text"], n), _stack(b["mark"])
+                rooms, slots, ids = b["room"].to_numpy(), b["slot"].to_numpy(), b["rep"].to_numpy()
+                at = _runs(rooms)
+                for a, c in zip(at, at[1:]):
+                    if room != rooms[a]:
+                        close()
+                        held.clear()
+                        room, slot = rooms[a], int(slots[a])
+                    held.extend(zip(ids[a:c].tolist(), sets[a:c], marks[a:c]))
                 if sum(len(f[0]) for f in found) > 100_000:
                     yield flush()
+        close()
         if found:
             yield flush()
 
-    sent = own.withColumnRenamed("doc_id", "rep").join(sized(seats, invited, 400), "rep").mapInArrow(send, "room long, slot int, rep long, keys binary, set binary")
+    texts = own.withColumnRenamed("doc_id", "rep")
+    if taken * 200 > _limit():
+        # only the texts that go to some room are shuffled
+        who = staged(seats.select("rep").distinct())
+        texts = texts.join(sized(who, who.count(), 16), "rep", "left_semi")
+    sent = texts.join(sized(seats, taken, 200), "rep").select("room", "slot", "rep", "mark", "text")
     met = sent.repartition("room").sortWithinPartitions("room").mapInArrow(meet, "a long, b long, jaccard double")
     return staged(met.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))), reps
 
 
+def _limit() -> int:
+    from ._stage import BROADCAST_BYTES
+
+    return BROADCAST_BYTES
+
+
+def _whole(batches: Iterator[pa.RecordBatch], column: str = "room", rows: int = 50_000) -> Iterator[pa.Table]:
+    """Tables of whole groups, about so many rows together."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = b[column].to_numpy(zero_copy_only=False)
+        if total >= rows:
+            # the group that goes on in this batch belongs to what is held
+            new = np.flatnonzero(x != held[-1][column][len(held[-1]) - 1].as_py())
+            if len(new):
+                k = int(new[0])
+                yield pa.Table.from_batches([*held, b.slice(0, k)]).combine_chunks()
+                held, total = [], 0
+                b = b.slice(k)
+        held.append(b)
+        total += b.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def with_copies(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """(docs_a, docs_b, jaccard): every document of docs_a pairs with every other of docs_b. Documents with equal sets stand in both lists of a row of their own."""
     ids = reps.select("rep", "ids")

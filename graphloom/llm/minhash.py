@@ -13,45 +13,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import _rooms
+from ._signatures import signatures
 from ._text import mix
 from .ngram_join import t_occurrence
 
-N, THRESHOLD, BANDS, ROWS = 3, 0.6, 28, 4
-
-
-def signatures(sets: list[np.ndarray], size: int, seed: int = 7) -> np.ndarray:
-    """A row of `size` 32-bit minima for each set; no set is empty."""
-    rng = np.random.default_rng(seed)
-    a = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**63, size, dtype=np.uint64)
-    flat = np.concatenate(sets)
-    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    out = np.empty((len(sets), size), np.uint32)
-    # so many sets at a time as stay in the caches while all functions pass over them
-    i = 0
-    while i < len(sets):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + 16384, side="right")) - 1)
-        x, begin = flat[at[i] : at[j]], at[i:j] - at[i]
-        y = np.empty_like(x)
-        for k in range(size):
-            np.multiply(x, a[k], out=y)
-            np.add(y, b[k], out=y)
-            out[i:j, k] = np.minimum.reduceat(y, begin) >> np.uint64(32)
-        i = j
-    return out
-
-
-def band_keys(bands: int, rows: int) -> _rooms.Keys:
-    def of(sets: list[np.ndarray]) -> np.ndarray:
-        s = signatures(sets, bands * rows).astype(np.uint64).reshape(len(sets), bands, rows)
+#: SKETCH: minima of which a byte goes to the rooms; at most bands * rows.
+N, THRESHOLD, BANDS, ROWS, SKETCH = 3, 0.6, 28, 4, 32
+
+
+def band_keys(bands: int, rows: int, sketch: int = SKETCH) -> _rooms.Keys:
+    """The bands' hashes, and a byte of each of the first minima."""
+
+    def of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        x = signatures(sets, bands * rows)
+        s = x.astype(np.uint64).reshape(len(sets), bands, rows)
         h = np.zeros((len(sets), bands), np.uint64)
         for r in range(rows):
             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + s[:, :, r] + np.uint64(1))
-        return h.astype(np.uint32)
+        return h.astype(np.uint32), x[:, :sketch].astype(np.uint8)
 
     return of
 
 
 def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(docs_a, docs_b, jaccard) as ngram_join gives it, of the pairs that agree in a band; the similarity is exact."""
+    """(docs_a, docs_b, jaccard) as ngram_join gives it, of the pairs that agree in a band and, by the sketch, aren't far from the threshold; the similarity is exact."""
     return _rooms.with_copies(*_rooms.similar(docs, n, threshold, band_keys(bands, rows), t_occurrence))
