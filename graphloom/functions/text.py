@@ -232,7 +232,7 @@ def enum_member(c: Column | str, members: list[str], synonyms: dict[str, str] |
 
 def string_list(c: Column | str) -> Column:
     """A comma-separated string as an array of trimmed items without blanks."""
-    return F.filter(F.transform(F.split(col(c), ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(col(c), ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def _ratio(a: str, b: str) -> float:

@@ -47,7 +47,7 @@ def is_zip(content: Column | str) -> Column:
 def json_kind(text: Column | str) -> Column:
     """document for a serialised document, graph for a graph export, json for other objects, null for what isn't JSON."""
     v = F.try_parse_json(_col(text).cast("string"))
-    has = lambda k: F.is_variant_null(F.try_variant_get(v, f"$.{k}", "variant")).isNotNull()
+    has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
     document = (has("schema_name") & has("version")) | (has("pages") & has("main_text"))
     return F.when(v.isNull(), None).when(has("nodes") & has("edges"), "graph").when(document, "document").otherwise("json")
 
