@@ -776,3 +776,145 @@ def extracted_pages(spark: SparkSession, d: str) -> DataFrame:
     rules = {"title": "<title>([^<]+)</title>", "links": '<a href="[^"]*">([^<]+)</a>'}
     r = direct(table(spark, d, "pages").select("page_id", F.col("html").alias("text")), "page_id", PAGES, lambda: Rules(rules), sparse_check=False)
     return r.select("page_id", "record.title", F.coalesce(F.size("record.links"), F.lit(0)).alias("links"))
+
+
+# -- more of merging, rekeying and attaching
+
+
+@query("""
+WITH c AS (SELECT o_custkey AS c, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderkey % 2 = 0) AS a, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderkey % 2 = 1) AS b FROM orders GROUP BY 1),
+split AS (SELECT bool_or(a <> b) AS x FROM c)
+SELECT 'c' || c AS node_id FROM c WHERE a IS NOT NULL UNION ALL SELECT 'c' || c || CASE WHEN a IS NOT NULL AND x THEN '__src_1' ELSE '' END FROM c, split WHERE b IS NOT NULL
+UNION ALL SELECT 'root0' UNION ALL SELECT 'root1'""")
+def split_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of even and of odd orders as two inputs: one conflict splits all that both have."""
+    o = table(spark, d, "orders").withColumn("input", F.expr("int(o_orderkey % 2)"))
+    root = F.concat(F.lit("root"), F.col("input").cast("string"))
+    n = o.groupBy("input", "o_custkey").agg(F.min_by("o_orderpriority", "o_orderkey").alias("p"), F.min("o_orderkey").alias("pos")).select("input", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node_id"), F.lit("Customer").alias("class"), "pos", F.create_map(F.lit("priority"), "p").alias("attrs"))
+    r = o.select("input", root.alias("node_id")).distinct().select("input", "node_id", F.lit("Root").alias("class"), F.lit(0).cast("long").alias("pos"), F.create_map(F.lit("name"), F.lit("x")).alias("attrs"))
+    e = n.select("input", root.alias("src"), F.col("node_id").alias("dst"), F.lit("HAS").alias("label"), "pos")
+    return merge.split_collisions(Graph(n.unionByName(r), e))[0].nodes.select("node_id")
+
+
+@query(_ROWS + """, k AS (SELECT p, arg_min(flag, [pos, [ascii(flag)]]) AS kept FROM l GROUP BY p), c AS (SELECT DISTINCT p, flag AS dropped FROM l JOIN k USING (p) WHERE flag <> kept)
+SELECT p AS src, p || '__var_' || substr(sha256('flag' || chr(31) || dropped), 1, 8) AS dst, 'HAS_CONFLICT_VARIANT' AS label FROM c""")
+def conflict_variants(spark: SparkSession, d: str) -> DataFrame:
+    nodes, conflicts = merge.fold_nodes(halves(spark, d).nodes)
+    return merge.conflict_variants(nodes, conflicts).edges.select("src", "dst", "label")
+
+
+@query("SELECT DISTINCT 's' || l_suppkey AS src, CASE WHEN l_partkey % 2 = 0 THEN 'q' || (l_partkey // 2) ELSE 'p' || l_partkey END AS dst, 'SENT_' || l_returnflag AS label FROM lineitem")
+def rekeyed_edges(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").filter("p_partkey % 2 = 0")
+    ids = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), F.concat(F.lit("q"), F.expr("p_partkey div 2").cast("string")).alias("new_id"))
+    return merge.rekey(halves(spark, d), ids).edges.select("src", "dst", "label").distinct()
+
+
+@query("""
+WITH e AS (SELECT user_id AS document, CAST(event_id % 8 AS INTEGER) AS batch, event_id, event_id // 8 AS i FROM events)
+SELECT a.event_id, b.event_id AS parent FROM e a LEFT JOIN e b ON a.document = b.document AND a.batch = b.batch AND b.i = a.i - 1""")
+def resolved_handles(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("document"), F.expr("int(event_id % 8)").alias("batch"), F.expr("event_id div 8").alias("i"), F.lit("x").alias("path"), F.col("event_id").alias("ids")).withColumn("p", F.col("i") - 1)
+    return attach.resolve_handles(e).select(F.col("ids").alias("event_id"), F.col("parent_ids").alias("parent"))
+
+
+@query("""
+WITH b AS (SELECT event_type AS path, count(*) AS had FROM events WHERE user_id % 3 = 0 GROUP BY 1),
+n AS (SELECT event_type AS path, event_id AS pos, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE user_id % 3 <> 0)
+SELECT path, pos FROM n JOIN b USING (path) WHERE k <= had""")
+def growth_cap(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("event_type").alias("path"), F.col("event_id").alias("pos"), "user_id")
+    return attach.growth_cap(e.filter("user_id % 3 <> 0").select("path", "pos"), e.filter("user_id % 3 = 0"))
+
+
+@query("""
+WITH h AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS c FROM lineitem)
+SELECT p AS node_id, array_to_string(list_sort(list(DISTINCT g)), ',') AS pages FROM (SELECT p, unnest([c // 100, c // 100 + 1]) AS g FROM h) GROUP BY p""")
+def pages_of_nodes(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node_id"), F.col("l_orderkey").alias("chunk_id"))
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id")).distinct().withColumn("pages", F.array(F.expr("chunk_id div 100"), F.expr("chunk_id div 100") + 1))
+    return provenance.pages_of(h, c, ["node_id"]).select("node_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query("SELECT l_suppkey AS entry, l_returnflag AS ref, l_orderkey AS place FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) = 1")
+def first_geometry(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entry"), F.col("l_returnflag").alias("ref"), F.col("l_orderkey").alias("place"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("pos"))
+    return provenance.first_geometry(r, ["entry"]).select("entry", "ref", "place")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT l_returnflag AS label, l_suppkey AS s, l_partkey AS p, l_linestatus AS st FROM lineitem),
+k AS (SELECT label, s, p, bool_or(st = 'O') AS t, bool_or(st = 'F') AS g FROM e GROUP BY ALL),
+c AS (SELECT label, count(*) FILTER (t AND g) AS tp, count(*) FILTER (g AND NOT t) AS fp, count(*) FILTER (t AND NOT g) AS fn FROM k GROUP BY label),
+q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS r FROM c)
+SELECT label, tp, fp, fn, round(p, 3) AS "precision", round(r, 3) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 3) AS f1 FROM q""")
+def edge_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("label"), F.col("l_suppkey").cast("string").alias("src"), F.col("l_partkey").cast("string").alias("dst"), "l_linestatus")
+    return evaluate.edge_prf(e.filter("l_linestatus = 'O'"), e.filter("l_linestatus = 'F'"))
+
+
+@query("""
+WITH u AS (SELECT p_size AS unit, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS c, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS f FROM part),
+c AS (SELECT unit, count(*) AS n FROM (SELECT c, min(unit) AS unit FROM u GROUP BY c) GROUP BY unit),
+f AS (SELECT unit, count(*) AS n FROM (SELECT c, f, min(unit) AS unit FROM u GROUP BY c, f) GROUP BY unit)
+SELECT unit, coalesce(c.n, 0) AS new_classes, coalesce(f.n, 0) AS new_fields FROM (SELECT DISTINCT unit FROM u) LEFT JOIN c USING (unit) LEFT JOIN f USING (unit)""")
+def induction_novelty(spark: SparkSession, d: str) -> DataFrame:
+    return induce.novelty(table(spark, d, "part").select(F.col("p_size").alias("unit"), F.col("p_brand").alias("cls"), F.col("p_name").alias("field")))
+
+
+@query("""
+WITH t AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT item_id FROM (SELECT b.item_id, CAST(b.item_id AS BIGINT) AS document, b.text FROM benchmark b) JOIN t ON t.doc_id = document WHERE contains(t, lower(text))""")
+def grounded_identity(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "benchmark").select("item_id", F.col("item_id").alias("document"), F.array("text").alias("examples"))
+    return induce.grounded_identity(c, table(spark, d, "documents").select(F.col("doc_id").alias("document"), "text")).select("item_id")
+
+
+@query("SELECT page_id, CASE WHEN length(url) > 2048 THEN 'too long' WHEN NOT regexp_matches(lower(url), '^https?://') THEN 'scheme' ELSE NULL END AS problem FROM pages")
+def url_problems(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.detect import url_problem
+
+    return table(spark, d, "pages").select("page_id", url_problem("url").alias("problem"))
+
+
+@query("SELECT event_id, 'json' AS kind FROM events")
+def json_kinds(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.detect import json_kind
+
+    return table(spark, d, "events").select("event_id", json_kind("props").alias("kind"))
+
+
+@query("""
+WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)
+SELECT 'p' || p AS target, min('s' || s) AS home, count(*) AS n FROM e GROUP BY p HAVING count(*) >= 2""")
+def multiply_referenced(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.lit("HAS").alias("label"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    return ontology.multiply_referenced(e)
+
+
+@query("SELECT doc_id, 0 AS chunk_id, length(text) AS chars, 'document' AS resolution FROM documents")
+def document_ledgers(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.document_ledger(table(spark, d, "documents"), "doc_id").select("doc_id", "chunk_id", F.length("text").alias("chars"), "resolution")
+
+
+@query("""
+SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
+def full_texts(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.files import full_text
+
+    return full_text(table(spark, d, "conversations").withColumnRenamed("turn", "page_no"), "conv_id")
+
+
+@query("SELECT c_custkey, '{\"id\":\"c' || c_custkey || '\",\"label\":\"Customer\",\"__class__\":\"Customer\",\"name\":\"' || c_name || '\"}' AS json FROM customer")
+def json_nodes(spark: SparkSession, d: str) -> DataFrame:
+    from .sinks.files import node_objects
+
+    n = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"), F.lit("Customer").alias("class"), F.create_map(F.lit("name"), "c_name").alias("attrs"))
+    return node_objects(Graph(n, n)).select(F.expr("bigint(substring(node_id, 2))").alias("c_custkey"), "json")
+
+
+@query("SELECT 'n' || n_nationkey AS id, 'Nation' AS label, n_name AS name FROM nation UNION ALL SELECT 'r' || r_regionkey, 'Region', r_name FROM region")
+def csv_nodes(spark: SparkSession, d: str) -> DataFrame:
+    from .sinks.files import wide_nodes
+
+    return wide_nodes(geography(spark, d))
