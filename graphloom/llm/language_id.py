@@ -4,7 +4,7 @@ The subwords of a text are the byte n-grams (2 to 4 bytes) of its lower-cased wo
 a space on either side, hashed to `buckets` rows of an embedding table. A text's vector
 is the average of its subwords' rows; a softmax over a linear map gives the languages.
 Both are trained by stochastic gradient descent in numpy on at most `sample` labelled
-rows, whole texts, those of the least hashes of their ids. A quarter of the sample is
+rows, whole texts, those of the least hashes of their ids and texts. A quarter of the sample is
 held out to fit a temperature, and the rejection threshold is where `lost` of the
 held-out texts that are recognised rightly fall below it.
 
@@ -156,10 +156,19 @@ def fit(texts: list[str], labels: list[str], buckets: int = BUCKETS, dim: int =
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, **options) -> Model:
-    """A model from the rows of docs with a text and a lang: the `sample` rows of the least hashes of doc_id, the bound of what the driver gathers."""
-    some = docs.filter("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))
-    rows = some.orderBy("h", "d", F.xxhash64("text"), "lang").limit(sample).collect()
-    return fit([r.text for r in rows], [r.lang for r in rows], **options)
+    """A model from the rows of docs with a text and a lang: the `sample` rows of the least hashes, the bound of what the driver gathers. Rows that repeat an id, text and lang count once.
+
+    Rows are counted first, so that only those below a hash that about so many are below leave the executors, whatever the number of tasks.
+    """
+    some = docs.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h"))
+    left = some.count()
+    share = min(1.0, (sample + 6 * sample**0.5 + 50) / max(left, 1))
+    while True:
+        below = some if share >= 1 else some.filter(F.col("h") < int(share * 2**64) - 2**63)
+        rows = sorted(below.dropDuplicates(["h", "lang"]).collect(), key=lambda r: (r.h, r.lang))[:sample]
+        if len(rows) == sample or share >= 1:
+            return fit([r.text for r in rows], [r.lang for r in rows], **options)
+        share = min(1.0, 2 * share)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
