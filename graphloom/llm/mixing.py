@@ -70,6 +70,11 @@ def schedule(slots: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
+def slots_for(weights: dict[str, float], period: int) -> int:
+    """The period, or as many slots as there are sources with a weight, if those are more."""
+    return max(period, sum(1 for w in weights.values() if w and w > 0))
+
+
 def _source(c: str = "source") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
@@ -107,6 +112,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes:
     spark = docs.sparkSession
     if weights is None:
         weights = dict.fromkeys(source_bytes(docs), 1.0)
+    period = slots_for(weights, period)
     slots = apportion(weights, period)
     rows = [(s, slots[s], i, t) for s, i, t in schedule(slots)] if slots else []
     plan = F.broadcast(spark.createDataFrame(rows, "source string, per int, nth int, at int"))  # one row a slot of the period, whatever the documents
@@ -118,6 +124,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes:
 
 def horizon(docs: DataFrame, weights: dict[str, float], block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> dict[str, int]:
     """Blocks of each source that come before the first slot for which its source has no full block left."""
+    period = slots_for(weights, period)
     slots = apportion(weights, period)
     full = {s: b // block_bytes for s, b in source_bytes(docs).items() if s in slots}
     if not full:
