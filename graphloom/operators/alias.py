@@ -63,7 +63,7 @@ def applied(g: Graph, proposals: DataFrame, confirmed: DataFrame) -> tuple[Graph
     m = report.filter("outcome = 'merged'").join(rich.select(F.col("node_id").alias("a"), F.col("rich").alias("ra"), F.col("pos").alias("pa")), "a").join(rich.select(F.col("node_id").alias("b"), F.col("rich").alias("rb"), F.col("pos").alias("pb")), "b")
     first = (F.col("ra") > F.col("rb")) | ((F.col("ra") == F.col("rb")) & (F.col("pa") <= F.col("pb")))
     ids = m.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("node_id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("survivor")).groupBy("node_id").agg(F.min("survivor").alias("survivor"))
-    # a survivor that is merged itself passes its own on; chains end because the richer one always survives
+    # a survivor that is merged itself passes its own on; a superset has one base only, so chains have two links at most
     ids = ids.alias("x").join(ids.alias("y"), F.col("x.survivor") == F.col("y.node_id"), "left").select("x.node_id", F.coalesce("y.survivor", "x.survivor").alias("survivor"))
     n = g.nodes.join(ids, "node_id", "left").withColumn("own", F.col("survivor").isNull()).withColumn("to", F.coalesce("survivor", "node_id"))
     order = F.struct((~F.col("own")).alias("o"), "pos")
