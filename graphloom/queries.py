@@ -251,10 +251,10 @@ def betweenness(spark: SparkSession, d: str) -> DataFrame:
     return stats.betweenness(geography(spark, d))
 
 
-@query("SELECT 'n' || c_nationkey AS node_id, count(*) AS customers, sum(c_acctbal) AS total, avg(c_acctbal) AS mean, count(DISTINCT c_mktsegment) AS segments, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS names FROM customer GROUP BY c_nationkey")
+@query("SELECT 'n' || c_nationkey AS node_id, count(*) AS customers, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS total, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean, count(DISTINCT c_mktsegment) AS segments, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS names FROM customer GROUP BY c_nationkey")
 def neighbour_aggregates(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "customer")
-    return e.groupBy(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("node_id")).agg(F.count("*").alias("customers"), F.sum("c_acctbal").alias("total"), F.avg("c_acctbal").alias("mean"), F.count_distinct("c_mktsegment").alias("segments"), F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("names"))
+    return e.groupBy(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("node_id")).agg(F.count("*").alias("customers"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("total"), (F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("mean"), F.count_distinct("c_mktsegment").alias("segments"), F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("names"))
 
 
 # -- filters and integrity
@@ -324,7 +324,7 @@ def structure_violations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'p' || p_partkey AS node_id, 'p' || min(p_partkey) OVER (PARTITION BY p_name, p_brand, p_type, p_size) AS survivor FROM part QUALIFY p_partkey <> min(p_partkey) OVER (PARTITION BY p_name, p_brand, p_type, p_size)")
 def duplicate_nodes(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), F.lit("Part").alias("class"), F.col("p_partkey").alias("pos"), F.create_map(F.lit("name"), "p_name", F.lit("brand"), "p_brand", F.lit("type"), "p_type", F.lit("size"), F.col("p_size").cast("string")).alias("attrs"))
+    n = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), F.lit("Part").alias("class"), F.col("p_partkey").alias("pos"), F.create_map(F.lit("name"), "p_name", F.lit("brand"), "p_brand", F.lit("kind"), "p_type", F.lit("size"), F.col("p_size").cast("string")).alias("attrs"))
     return clean.duplicate_nodes(Graph(n, n))
 
 
