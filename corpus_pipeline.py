@@ -11,6 +11,8 @@ from graphloom.llm._stage import staged
 EXPONENT = 0.9
 #: Small blocks, so that even a small source has many and little is cut off at its end.
 BLOCK_BYTES = 1 << 10
+#: Words that an encoding worker remembers, few because workers stay while other stages run.
+WORDS = 150_000
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids."""
-    return byte_bpe.encoded(docs)
+    return byte_bpe.encoded(docs, cache=WORDS)
 
 
 STAGES = [("language_id", identify), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("mixing", mix), ("byte_bpe", encode)]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._stage import importable, sized, staged
-from ._text import gram_sets, slices
+from ._text import give_back, gram_sets, slices
 
 #: keys(sets) -> uint32 array of K keys, and uint8 array of the sketch, a row for each set.
 Keys = Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
@@ -134,6 +134,7 @@ def representatives(docs: DataFrame, n: int, keys: Keys) -> DataFrame:
                     ],
                     ["doc_id", "one", "two", "keys", "mark"],
                 )
+        give_back()
 
     found = docs.mapInArrow(profile, "doc_id long, one long, two long, keys array<int>, mark binary")
     # keys and mark follow from the set, so any of a group will do
@@ -171,6 +172,7 @@ def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs) -> tupl
                 keep[a : a + m] = New(keys16[a : a + m], int(slot[a]), sketch[a : a + m], least).needed()
             if keep.any():
                 yield from g.filter(pa.array(keep)).combine_chunks().to_batches()
+        give_back()
 
     seats = staged(entered.select("room", "slot", "rep", "mark").repartition("room").sortWithinPartitions("room").mapInArrow(assign, "room long, slot int, rep long, mark binary"))
     taken = seats.count()
@@ -213,6 +215,8 @@ def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs) -> tupl
         close()
         if found:
             yield flush()
+        held.clear()
+        give_back()
 
     texts = own.withColumnRenamed("doc_id", "rep")
     if taken * 200 > _limit():

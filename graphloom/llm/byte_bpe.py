@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import importable
-from ._text import slices
+from ._text import give_back, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s++"
-CACHE = 2_000_000
+CACHE = 500_000
+#: Bytes of text, and pre-tokens, that are worked on at a time: what a worker holds beside its cache follows from them.
+SLICE, TOGETHER = 1 << 18, 4096
 _NONE = np.int64(2**31 - 1)
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
 
@@ -54,6 +56,7 @@ class Bpe:
         self.number: dict[str, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.at = np.zeros(1, np.int64)
+        self.cache = CACHE
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         asked = left << np.int64(32) | right
@@ -153,8 +156,8 @@ class Bpe:
             else:
                 classes.setdefault(max(4, 1 << (len(r) - 1).bit_length()), []).append(i)
         for size, at in classes.items():
-            for a in range(0, len(at), 16384):
-                part = at[a : a + 16384]
+            for a in range(0, len(at), TOGETHER):
+                part = at[a : a + TOGETHER]
                 for i, ids in zip(part, self.many([raws[i] for i in part], size)):
                     out[i] = ids
         return out
@@ -177,7 +180,7 @@ class Bpe:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's begin. A null has none."""
         tokens = [self.chunks(t) if t else [] for t in texts]
-        if len(self.number) > CACHE:
+        if len(self.number) > self.cache:
             self.number, self.flat, self.at = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
         number = self.number
         fresh = list(set().union(*tokens).difference(number))
@@ -195,9 +198,12 @@ class Bpe:
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """The bytes of each text's ids; an id that isn't in the vocabulary raises KeyError."""
-        of = self.bytes_of
-        flat = ids.tolist()
-        return [b"".join([of[i] for i in flat[a:b]]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        of = self.bytes_of.__getitem__
+        out = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            # a long text in parts, so that its ids aren't Python numbers all at once
+            out.append(b"".join([b"".join(map(of, ids[k : min(b, k + 65536)].tolist())) for k in range(a, b, 65536)]))
+        return out
 
 
 _HELD: dict[tuple[str, str], Bpe] = {}
@@ -210,14 +216,15 @@ def held(path: str = VOCABULARY, pattern: str = PATTERN) -> Bpe:
     return _HELD[path, pattern]
 
 
-def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, token_ids, n_tokens, round_trip) for every row: round_trip tells whether decoding the ids gives the text's bytes. A null text has null in all three; an empty one has no tokens. Rows without doc_id and repeated rows stay."""
+def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, cache: int = CACHE) -> DataFrame:
+    """(doc_id, token_ids, n_tokens, round_trip) for every row: round_trip tells whether decoding the ids gives the text's bytes. A null text has null in all three; an empty one has no tokens. Rows without doc_id and repeated rows stay. cache: words that a worker remembers, about 350 bytes each; fewer take more time."""
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held(path, pattern)
+        bpe.cache = cache
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, limit=SLICE):
                 texts = b["text"].to_pylist()
                 ids, at = bpe.encode(texts)
                 same = [None if t is None else raw == t.encode("utf-8") for t, raw in zip(texts, bpe.decode(ids, at))]
@@ -226,6 +233,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) ->
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
                 n = pa.array(np.diff(at).astype(np.int32), mask=null.to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([b["doc_id"], lists, n, pa.array(same, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "round_trip"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import importable
-from ._text import _IN_WORD, slices
+from ._text import _IN_WORD, give_back, slices
 
 SAMPLE, BUCKETS, DIM, EPOCHS, LOST = 2000, 1 << 15, 16, 6, 0.001
 ORDERS = (2, 3, 4)
@@ -201,5 +201,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                 sure = p.max(axis=1) if p.shape[1] else np.zeros(len(p))
                 out.append((sure >= model.threshold) & (sure > 0))
             yield pd.Series(np.concatenate(out))
+        give_back()
 
     return docs.filter(F.col("text").isNotNull()).filter(kept("text"))
