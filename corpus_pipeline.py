@@ -9,7 +9,7 @@ from graphloom.llm._stage import staged
 
 #: Target weights are the sources' bytes to this power: large sources lose share to small ones.
 EXPONENT = 0.9
-#: Small blocks, so that even a small source has many and little is cut off at its end.
+#: Small blocks, so that even a small source has many.
 BLOCK_BYTES = 1 << 10
 #: Words that an encoding worker remembers, few because workers stay while other stages run.
 WORDS = 150_000
@@ -31,8 +31,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in proportion to target weights, as far as the schedule goes before a source runs out."""
-    return mixing.to_weights(docs, mixing.target_weights(docs, EXPONENT), BLOCK_BYTES)
+    """All documents, in the order of a schedule by target weights."""
+    return mixing.scheduled(docs, mixing.target_weights(docs, EXPONENT), BLOCK_BYTES)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

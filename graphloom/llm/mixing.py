@@ -145,3 +145,10 @@ def to_weights(docs: DataFrame, weights: dict[str, float], block_bytes: int = BL
     last = F.broadcast(docs.sparkSession.createDataFrame(rows, last.schema))
     own = F.struct(F.md5(F.col("doc_id").cast("string")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
     return docs.filter("doc_id is not null").join(last, (_source() == F.col("__source")) & (own <= F.col("__last")), "left_semi")
+
+
+def scheduled(docs: DataFrame, weights: dict[str, float], block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
+    """All rows of docs in the order of the schedule: as long as sources last, every beginning of it is in proportion to the weights. Columns stay. A source that ends, however small, takes no other source's documents along. Rows without doc_id or of sources without weight come last."""
+    slots = mixed(docs, weights, block_bytes, period).select(F.col("doc_id").alias("__doc"), F.col("slot").alias("__slot"))
+    d = docs.join(slots, F.col("doc_id").cast("long") == F.col("__doc"), "left")
+    return d.orderBy(F.col("__slot").asc_nulls_last(), F.md5(F.col("doc_id").cast("string"))).select(*(docs[f"`{c}`"] for c in docs.columns))
