@@ -25,7 +25,7 @@ from ._stage import importable
 from ._text import slices
 from .license_rules import RULES
 
-_GAP = r"[\s*#/;%]*\s[\s*#/;%]*"
+_GAP = r"(?:[\s*#/;%]*\s[\s*#/;%]*)"
 
 
 @dataclass(frozen=True)
