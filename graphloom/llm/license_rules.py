@@ -1,7 +1,7 @@
 """The rules of license_scan: license | priority | keyword | pattern, one a line.
 
 A space in a pattern stands for white space with comment marks around it. The keyword is
-lower-case text that every match of the pattern contains; the pattern ignores case.
+lower-case words that every match of the pattern contains; the pattern ignores case.
 Priorities: 90 grants and licence texts, 80 SPDX tags, 70 addresses, 60 notices by
 full name, 40 names, 20 traces.
 """
@@ -21,14 +21,14 @@ Apache-1.0|80|spdx-license-identifier: apache-1.0|spdx-license-identifier: apach
 Apache-unversioned|20|apache license|apache license
 MIT|90|permission is hereby granted, free of charge|permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
 MIT|90|the software is provided "as is"|the software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability
-MIT|90|mit license|(?:released|licensed|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?mit licen[sc]e
+MIT|90|mit licen|(?:released|licensed|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?mit licen[sc]e
 MIT|80|spdx-license-identifier: mit|spdx-license-identifier: mit(?![\w.-])
-MIT|70|opensource.org/licenses/mit|https?://(?:www\.)?opensource\.org/licenses?/mit(?:-license(?:\.php)?)?
+MIT|70|opensource.org/license /mit|https?://(?:www\.)?opensource\.org/licenses?/mit(?:-license(?:\.php)?)?
 MIT|70|mit-license.org|https?://(?:www\.)?mit-license\.org
 MIT|60|the mit license|the mit license(?: \(mit\))?
 MIT|40|mit license|mit license
 MIT|40|mit licence|mit licence
-MIT|40|expat license|expat licen[sc]e
+MIT|40|expat licen|expat licen[sc]e
 MIT-0|80|spdx-license-identifier: mit-0|spdx-license-identifier: mit-0(?![\w.-])
 MIT-0|60|mit no attribution|mit no attribution(?: license)?
 X11|80|spdx-license-identifier: x11|spdx-license-identifier: x11(?![\w.-])
@@ -40,7 +40,7 @@ BSD-2-Clause|60|two-clause bsd|two-clause bsd(?: license)?
 BSD-2-Clause|60|bsd 2-clause|bsd 2-clause(?: license)?
 BSD-2-Clause|60|freebsd license|freebsd license
 BSD-2-Clause|40|bsd-2-clause|(?<![\w.-])bsd-2-clause(?![\w.-])
-BSD-2-Clause|70|opensource.org/licenses/bsd-2-clause|https?://(?:www\.)?opensource\.org/licenses?/bsd-2-clause
+BSD-2-Clause|70|opensource.org/license /bsd-2-clause|https?://(?:www\.)?opensource\.org/licenses?/bsd-2-clause
 BSD-3-Clause|80|spdx-license-identifier: bsd-3-clause|spdx-license-identifier: bsd-3-clause(?![\w.-])
 BSD-3-Clause|90|neither the name of|neither the name of [^.]{1,120} nor the names of (?:its|any|the)? ?contributors may be used to endorse or promote products
 BSD-3-Clause|90|use of this source code is governed by a bsd-style|use of this source code is governed by a bsd-style license
@@ -51,7 +51,7 @@ BSD-3-Clause|60|new bsd license|new bsd license
 BSD-3-Clause|60|modified bsd license|modified bsd license
 BSD-3-Clause|60|revised bsd license|revised bsd license
 BSD-3-Clause|40|bsd-3-clause|(?<![\w.-])bsd-3-clause(?![\w.-])
-BSD-3-Clause|70|opensource.org/licenses/bsd-3-clause|https?://(?:www\.)?opensource\.org/licenses?/bsd-3-clause
+BSD-3-Clause|70|opensource.org/license /bsd-3-clause|https?://(?:www\.)?opensource\.org/licenses?/bsd-3-clause
 BSD-4-Clause|80|spdx-license-identifier: bsd-4-clause|spdx-license-identifier: bsd-4-clause(?![\w.-])
 BSD-4-Clause|90|all advertising materials mentioning features|all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 BSD-4-Clause|60|4-clause bsd|4-clause bsd(?: license)?
@@ -67,7 +67,7 @@ BSD-unspecified|20|bsd licence|bsd licence
 ISC|90|permission to use, copy, modify, and|permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
 ISC|80|spdx-license-identifier: isc|spdx-license-identifier: isc(?![\w.-])
 ISC|60|isc license|isc license
-ISC|70|opensource.org/licenses/isc|https?://(?:www\.)?opensource\.org/licenses?/isc(?:-license)?
+ISC|70|opensource.org/license /isc|https?://(?:www\.)?opensource\.org/licenses?/isc(?:-license)?
 GPL-1.0|80|spdx-license-identifier: gpl-1.0|spdx-license-identifier: gpl-1\.0(?:-only|-or-later|\+)?(?![\w.-])
 GPL-1.0|60|general public license|gnu general public license,? (?:version |v\.? ?)1(?![\d.])
 GPL-2.0-only|80|spdx-license-identifier: gpl-2.0|spdx-license-identifier: gpl-2\.0(?:-only)?(?![\w.+-])
@@ -302,7 +302,7 @@ Elastic-2.0|80|spdx-license-identifier: elastic-2.0|spdx-license-identifier: ela
 Commons-Clause|60|commons clause|"?commons clause"?(?: license condition v1\.0)?
 PolyForm-NC-1.0|60|polyform noncommercial license|polyform noncommercial license(?: 1\.0\.0)?
 PolyForm-SB-1.0|60|polyform small business license|polyform small business license(?: 1\.0\.0)?
-OpenRAIL-M|60|openrail-m|(?:creativeml |bigscience )?(?:open ?rail(?:\+\+)?-m)(?: license)?
+OpenRAIL-M|60|rail -m|(?:creativeml |bigscience )?(?:open ?rail(?:\+\+)?-m)(?: license)?
 RAIL|40|responsible ai license|(?:bigscience )?responsible ai license
 Llama-Community|60|community license agreement|llama \d(?:\.\d)? community license agreement
 OpenSSL|60|openssl license|openssl license
@@ -325,7 +325,7 @@ LPPL-1.3c|80|spdx-license-identifier: lppl-1.3|spdx-license-identifier: lppl-1\.
 QPL-1.0|60|q public license|(?<!\w)q public license(?: version 1\.0)?
 Sleepycat|60|sleepycat license|sleepycat license
 SISSL|60|sun industry standards source license|sun industry standards source license
-PostgreSQL|60|postgresql license|postgresql licen[cs]e
+PostgreSQL|60|postgresql licen|postgresql licen[cs]e
 PostgreSQL|80|spdx-license-identifier: postgresql|spdx-license-identifier: postgresql(?![\w.-])
 Proprietary|60|all rights reserved|unauthorized (?:copying|reproduction|distribution|use)[^.]{0,120}is (?:strictly )?prohibited[^.]{0,40}\. [^.]{0,80}all rights reserved
 Proprietary|60|proprietary and confidential|proprietary and confidential
