@@ -93,6 +93,11 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return d.select("doc_id", "source", "key", F.expr(f"(before + within) div {block_bytes}").alias("block"))
 
 
+def sources(docs: DataFrame) -> list[str]:
+    """The sources, '' for null; a row for each comes to the driver."""
+    return sorted(r.source for r in docs.filter("doc_id is not null").select(_source().alias("source")).distinct().collect())
+
+
 def source_bytes(docs: DataFrame) -> dict[str, int]:
     """Bytes of each source; a row for each source comes to the driver."""
     d = docs.filter("doc_id is not null").groupBy(_source().alias("source")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"))

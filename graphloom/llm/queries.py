@@ -31,7 +31,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(documents(spark, sf_dir), WEIGHTS)
+    docs = documents(spark, sf_dir)
+    return mixing.mixed(docs, WEIGHTS | {s: OTHER for s in mixing.sources(docs) if s not in WEIGHTS})
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Target weights of op5: a source's number decides, so that shares differ; the schedule then isn't a mere round robin.
 WEIGHTS = {f"src{i}": float(1 + i % 5) for i in range(20)}
+#: The weight of any other source, so that no document is left out; the SQL knows the named ones only.
+OTHER = 1.0
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
