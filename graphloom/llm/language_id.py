@@ -6,7 +6,9 @@ is the average of its subwords' rows; a softmax over a linear map gives the lang
 Both are trained by stochastic gradient descent in numpy on at most `sample` labelled
 rows, whole texts, those of the least hashes of their ids and texts. A quarter of the sample is
 held out to fit a temperature, and the rejection threshold is where `lost` of the
-held-out texts that are recognised rightly fall below it.
+held-out texts that are recognised rightly fall below it. A single language has no
+other to be told from: its score is the likelihood of a text's subwords in it against
+that of all buckets alike.
 
 After training, table times map is a table of one number for a bucket and a language,
 so scoring is one look-up for a subword.
@@ -102,7 +104,7 @@ class Model:
             for c in range(len(self.labels)):
                 out[some, c] = np.add.reduceat(self.table[:, c][ids].astype(np.float64), at[:-1][some])
             z = (out[some] / n[some, None] + self.bias) / self.temperature
-            out[some] = _softmax(z)
+            out[some] = _chances(z)
         return out
 
 
@@ -111,6 +113,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _chances(z: np.ndarray) -> np.ndarray:
+    """A softmax; of a single column against 0, which stands for no language."""
+    return _softmax(z) if z.shape[1] > 1 else _softmax(np.hstack([z, np.zeros_like(z)]))[:, :1]
+
+
 def fit(texts: list[str], labels: list[str], buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, lost: float = LOST, seed: int = 11) -> Model:
     """Without a labelled text the model has no language and rejects everything."""
     names = tuple(sorted(set(labels)))
@@ -141,17 +148,28 @@ def fit(texts: list[str], labels: list[str], buckets: int = BUCKETS, dim: int =
             e[which] -= rate * np.outer(part * min(len(which), 200), back)
             step += 1
     table = (e @ w).astype(np.float32)
+    if len(names) == 1:
+        seen = np.ones(buckets)
+        for i in train:
+            seen[docs[i][0]] += docs[i][1]
+        table, bias = np.log(seen / seen.sum() * buckets).astype(np.float32)[:, None], np.zeros(1)
     model = Model(names, table, bias, 1.0, 0.0)
     if not len(held):
         return model
     logits = np.stack([docs[i][1] / docs[i][1].sum() @ table[docs[i][0]] + bias for i in held])
-    grid = np.geomspace(0.05, 10, 40)
-    loss = [-np.log(np.maximum(_softmax(logits / k)[np.arange(len(held)), y[held]], 1e-12)).mean() for k in grid]
-    k = float(grid[int(np.argmin(loss))])
-    p = _softmax(logits / k)
+    k = 1.0
+    if len(names) > 1:
+        # targets short of 1, as one text more of each outcome gives; else where all are right the temperature falls until every text is certain
+        target = np.full((len(held), len(names)), 1 / (len(held) + 2) / (len(names) - 1))
+        target[np.arange(len(held)), y[held]] = (len(held) + 1) / (len(held) + 2)
+        grid = np.geomspace(0.05, 10, 40)
+        loss = [-(target * np.log(np.maximum(_softmax(logits / t), 1e-12))).sum(axis=1).mean() for t in grid]
+        k = float(grid[int(np.argmin(loss))])
+    p = _chances(logits / k)
     right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-    # no lower than what mere chance gives; no higher than an even bet, however sure the held-out ones are
-    threshold = min(0.5, max(1 / len(names), float(np.quantile(right, lost)))) if len(right) else 1 / len(names)
+    # no lower than what mere chance gives; less by what sums in another order may differ
+    chance = 1 / max(2, len(names))
+    threshold = max(chance, float(np.quantile(right, lost)) - 1e-9) if len(right) else chance
     return Model(names, table, bias, k, threshold)
 
 
