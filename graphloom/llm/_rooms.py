@@ -1,93 +1,135 @@
 """Joins of documents by their sets of word n-grams.
 
-Documents with equal sets are first drawn together. Each then gets K keys from its
-grams; documents that agree in a key meet in that key's room. First only marks go to the
-rooms: the keys, shortened to 16 bits, and a sketch of one byte for each of further
-minima. They tell which documents meet there for the first time, and which are too
-unlike by their sketches. Then the texts of those that remain go to these rooms alone,
-where a function of the operator finds the pairs.
+Documents with equal sets form a class, for which its lowest id stands. Each class then
+gets K keys from its grams; classes that agree in a key meet in that key's room. First
+only marks go to the rooms: the keys of earlier slots, which tell who has met before, and
+a parity bitmap, which bounds from above how many grams two sets share. Both are exact:
+who has no partner left there that could be similar enough needn't come. The texts of the
+others go to these rooms alone, where a function of the operator finds the pairs.
+
+A room isn't one task: its classes are dealt into as many blocks of BLOCK_GRAMS grams as
+it has, and a task holds two blocks. No pair leaves a task. What leaves it is, for every
+class, the number of its links there and the lowest id that it is connected with there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._stage import importable, sized, staged
 from ._text import give_back, gram_sets, slices
 
-#: keys(sets) -> uint32 array of K keys, and uint8 array of the sketch, a row for each set.
-Keys = Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
-#: pairs(sets, new, t) -> (i, j, overlap) of the pairs i > j for which new(i) holds j and the Jaccard similarity is t at least.
-Pairs = Callable[[list[np.ndarray], "New", float], tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-#: Rooms up to this size send only the texts that are needed in them; larger ones send all, which costs traffic but finds the same.
-PRUNE_BELOW = 20_000
-#: The probability at which the sketch may pass over a pair that is just similar enough.
-MISSED = 0.005
-
-
-def least_agreeing(size: int, t: float, missed: float = MISSED) -> int:
-    """So many bytes of a sketch must agree that a pair of similarity t is passed over with at most the given probability."""
-    total = 0.0
-    for c in range(size + 1):
-        total += comb(size, c) * t**c * (1 - t) ** (size - c)
-        if total > missed:
-            return c
-    return size
-
-
-class New:
-    """Which documents of a room meet there for the first time and are alike by their sketches. keys: 16 bits each; sketch: a byte for each minimum."""
-
-    def __init__(self, keys: np.ndarray, slot: int, sketch: np.ndarray | None = None, least: int = 0):
-        self.keys, self.least = np.ascontiguousarray(keys[:, :slot]), least
-        self.sketch = sketch if least else None
-
-    def _fits(self, i: int, end: int) -> np.ndarray:
-        out = np.ones(end, bool)
-        if self.keys.shape[1]:
-            out &= ~(self.keys[:end] == self.keys[i]).any(axis=1)
-        if self.sketch is not None:
-            out &= (self.sketch[:end] == self.sketch[i]).sum(axis=1) >= self.least
+#: keys(sets) -> uint64 array of K keys, a row for each set.
+Keys = Callable[[list[np.ndarray]], np.ndarray]
+#: others(i) -> places of sets that i is to be compared with.
+Others = Callable[[int], np.ndarray]
+#: pairs(sets, others, t) -> (i, found), i ascending: found are those of others(i), all below i, whose Jaccard similarity with i is t at least. No i without any.
+Pairs = Callable[[list[np.ndarray], Others, float], Iterator[tuple[int, np.ndarray]]]
+
+#: A block of a room has about so many grams; a task holds two blocks at a time.
+BLOCK_GRAMS = 2_000_000
+#: In rooms of up to so many classes all marks are compared in one array operation, many rooms at a time.
+SMALL = 24
+#: What a mark or a seat weighs in a broadcast.
+SEAT_BYTES = 400
+
+_MARK = "room long, part long, slot int, rep long, one long, side boolean, size int, keys array<long>"
+
+
+def parity(sets: list[np.ndarray]) -> list[bytes]:
+    """For each set the parities of the numbers of its grams in w cells, w the least power of two of 64 and three times the size at least.
+
+    Two bitmaps differ in at most as many bits as the sets differ in grams. Halves laid over each other by XOR give the bitmap of half the width.
+    """
+    width = np.array([max(64, 1 << (3 * len(s) - 1).bit_length()) for s in sets], np.int64)
+    begin = np.cumsum(width) - width
+    size = np.array([len(s) for s in sets])
+    cell = (np.concatenate(sets) & np.repeat(width - 1, size).astype(np.uint64)).astype(np.int64) + np.repeat(begin, size)
+    packed = np.packbits((np.bincount(cell, minlength=int(width.sum())) & 1).astype(np.uint8), bitorder="little")
+    return [packed[a : a + w].tobytes() for a, w in zip((begin // 8).tolist(), (width // 8).tolist())]
+
+
+class Marks:
+    """Sizes and parity bitmaps of sets, and what they say of pairs."""
+
+    def __init__(self, size: np.ndarray, bits: list[bytes], t: float):
+        self.size, self.t = size.astype(np.int64), t
+        words = np.array([len(b) // 8 for b in bits], np.int64)
+        self.kind = np.log2(np.maximum(words, 1)).astype(np.int64)
+        self.row = np.zeros(len(bits), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for k in np.unique(self.kind).tolist():
+            at = np.flatnonzero(self.kind == k)
+            self.row[at] = np.arange(len(at))
+            self.of[k] = np.frombuffer(b"".join(bits[i] for i in at.tolist()), np.uint64).reshape(len(at), 1 << k)
+
+    def able(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs (a, b) may be similar enough; the others surely aren't."""
+        x, y = self.size[a], self.size[b]
+        out = np.minimum(x, y) >= self.t * np.maximum(x, y) - 1e-9
+        need = np.ceil(self.t / (1 + self.t) * (x + y) - 1e-9)
+        a, b = np.where(self.kind[a] >= self.kind[b], a, b), np.where(self.kind[a] >= self.kind[b], b, a)
+        of = self.kind[a] * 64 + self.kind[b]
+        for kinds in np.unique(of[out]).tolist():
+            k, l = divmod(kinds, 64)
+            at = np.flatnonzero(out & (of == kinds))
+            for c in range(0, len(at), 4096):
+                p = at[c : c + 4096]
+                wide = self.of[k][self.row[a[p]]]
+                if k > l:
+                    wide = np.bitwise_xor.reduce(wide.reshape(len(p), 1 << (k - l), 1 << l), axis=1)
+                apart = np.bitwise_count(wide ^ self.of[l][self.row[b[p]]]).sum(axis=1, dtype=np.int64)
+                out[p] = (x[p] + y[p] - apart) // 2 >= need[p]
         return out
 
-    def __call__(self, i: int) -> np.ndarray:
-        """Places below i."""
-        return np.flatnonzero(self._fits(i, i))
-
-    def needed(self) -> np.ndarray:
-        """Which documents have any such partner."""
-        m = len(self.keys)
-        if m > PRUNE_BELOW:
-            return np.ones(m, bool)
-        out = np.zeros(m, bool)
-        for i in range(1, m):
-            at = self(i)
-            if len(at):
-                out[i] = True
-                out[at] = True
-        return out
-
-
-def _stack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1) if len(x) else np.zeros((0, 0), np.uint8)
-
 
-def _split(marks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit keys and sketches."""
-    return np.ascontiguousarray(marks[:, : 2 * k]).view(np.uint16), np.ascontiguousarray(marks[:, 2 * k :])
+def unmet(keys: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Those of others that agree with i in none of the keys; keys has a row for each earlier slot."""
+    for k in keys:
+        if not len(others):
+            break
+        others = others[k[others] != k[i]]
+    return others
+
+
+def needed(marks: Marks, at: int, keys: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+    """Of the len(keys[0]) rows from `at` on, a room, those that have any partner which is new to them and may be similar enough. side: if given, partners are of different sides."""
+    m = keys.shape[1]
+    size = marks.size[at : at + m]
+    order = np.argsort(size, kind="stable")
+    in_order = size[order]
+    low = np.searchsorted(in_order, marks.t * in_order - 1e-9)
+    out = np.zeros(m, bool)
+    for k in range(1, m):
+        i = int(order[k])
+        others = order[low[k] : k]
+        if side is not None:
+            others = others[side[others] != side[i]]
+        for c in range(0, len(others), 2048):
+            part = others[c : c + 2048]
+            if out[i]:  # then only those matter that have no partner yet
+                part = part[~out[part]]
+            part = unmet(keys, i, part)
+            if len(part):
+                part = part[marks.able(np.full(len(part), at + i), at + part)]
+            if len(part):
+                out[i] = True
+                out[part] = True
+    return out
 
 
-def _runs(x: np.ndarray) -> list[int]:
-    return [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+def _runs(*columns: np.ndarray) -> list[int]:
+    if not len(columns[0]):
+        return [0]
+    edge = np.zeros(len(columns[0]) - 1, bool)
+    for x in columns:
+        edge |= x[1:] != x[:-1]
+    return [0, *(np.flatnonzero(edge) + 1).tolist(), len(columns[0])]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -109,8 +151,29 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def representatives(docs: DataFrame, n: int, keys: Keys) -> DataFrame:
-    """Staged (rep, ids, keys, mark): a row for each distinct set of n-grams, rep the lowest of the ids that have it. Documents without a word have no set and no row."""
+def _whole(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of whole rooms, about so many rows together."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if total >= rows:
+            # the room that goes on in this batch belongs to what is held
+            new = np.flatnonzero(b["room"].to_numpy() != held[-1]["room"][len(held[-1]) - 1].as_py())
+            if len(new):
+                k = int(new[0])
+                yield pa.Table.from_batches([*held, b.slice(0, k)]).combine_chunks()
+                held, total = [], 0
+                b = b.slice(k)
+        held.append(b)
+        total += b.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def classes(docs: DataFrame, n: int, keys: Keys) -> tuple[DataFrame, DataFrame]:
+    """Staged: (doc_id, rep, copies), a row for each document and its set, rep the lowest id that has the set, copies whether another has it; and (rep, one, size, keys, bits), a row for each set, with a sum of its hashes. Documents without a word have no set and no row."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,162 +183,196 @@ def representatives(docs: DataFrame, n: int, keys: Keys) -> DataFrame:
                 if not some:
                     continue
                 sets = [sets[i] for i in some]
-                k, sketch = keys(sets)
-                one = np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64)
+                k = keys(sets)
                 two = np.array([int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7))) ^ len(s) for s in sets], np.uint64)
-                marks = np.concatenate([(k & np.uint32(0xFFFF)).astype(np.uint16).view(np.uint8).reshape(len(k), -1), sketch], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b["doc_id"].take(pa.array(some)),
-                        pa.array(one.view(np.int64)),
+                        pa.array(_sums(sets)),
                         pa.array(two.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * k.shape[1]), pa.array(k.view(np.int32).ravel())),
-                        pa.array([x.tobytes() for x in marks], pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * k.shape[1]), pa.array(k.view(np.int64).ravel())),
+                        pa.array(parity(sets), pa.binary()),
                     ],
-                    ["doc_id", "one", "two", "keys", "mark"],
+                    ["doc_id", "one", "two", "size", "keys", "bits"],
                 )
         give_back()
 
-    found = docs.mapInArrow(profile, "doc_id long, one long, two long, keys array<int>, mark binary")
-    # keys and mark follow from the set, so any of a group will do
-    grouped = found.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("ids"), F.first("keys").alias("keys"), F.first("mark").alias("mark"))
-    return staged(grouped.select("rep", "ids", "keys", "mark"))
+    found = staged(docs.mapInArrow(profile, "doc_id long, one long, two long, size int, keys array<long>, bits binary"))
+    own = found.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("copies"))
+    of = staged(found.select("doc_id", "one", "two").join(own, ["one", "two"]).select("doc_id", "one", "two", "rep", "copies"))
+    alone = of.filter("doc_id = rep").select("doc_id", "one", "two").distinct()
+    # equal sets of one id have equal keys and bitmaps
+    reps = found.join(alone, ["doc_id", "one", "two"], "left_semi").dropDuplicates(["doc_id", "one", "two"])
+    return of.select("doc_id", "rep", "copies").distinct(), staged(reps.select(F.col("doc_id").alias("rep"), "one", "size", "keys", "bits"))
+
 
+def _sums(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
 
-def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, jaccard) of representatives, a < b, staged; and the representatives."""
+
+def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """Staged (rep, root, links): in some room, rep has so many links and is connected with root; and the members (doc_id, rep, copies) of classes. A pair of classes has its link in one room, the first in which it meets."""
     importable(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
-    reps = representatives(own, n, keys)
-    width, sketch_width = (x.shape[1] for x in keys([np.arange(1, 2, dtype=np.uint64)]))
-    least = least_agreeing(sketch_width, t)
-
-    opened = reps.select("rep", F.posexplode("keys").alias("slot", "key")).select("rep", "slot", F.xxhash64("slot", "key").alias("room"))
-    shared = opened.withColumn("m", F.count("*").over(Window.partitionBy("room"))).filter("m > 1").drop("m")
-    seated = staged(shared.groupBy("rep").agg(F.collect_list(F.struct("room", "slot")).alias("at")))
-    entered = seated.join(reps.select("rep", "mark"), "rep").select("rep", "mark", F.inline("at"))
+    members, reps = classes(own, n, keys)
+
+    opened = reps.select("rep", "size", F.posexplode("keys").alias("slot", "key")).select("rep", "size", "slot", F.xxhash64("slot", "key").alias("room"))
+    rooms = opened.groupBy("room").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).filter("m > 1")
+    rooms = rooms.select("room", F.ceil(F.col("grams") / block_grams).cast("int").alias("blocks"))
+    shared = opened.select("rep", "slot", "room").join(rooms, "room")
+    seated = shared.groupBy("rep").agg(F.collect_list(F.struct("room", "slot", "blocks")).alias("at"))  # of one id, K for each of its sets at most
+    at = seated.join(reps, "rep").select("rep", "one", "size", "keys", "bits", F.inline("at"))
+    at = at.filter(F.xxhash64("slot", F.col("keys")[F.col("slot")]) == F.col("room"))  # where an id has several sets, each to its own rooms
+    block = F.pmod(F.xxhash64("rep", "one"), F.col("blocks"))
+    dealt = at.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    entered = dealt.select("room", (low * F.lit(1 << 32) + high).alias("part"), "slot", "rep", "one", (F.col("block") == low).alias("side"), "size", F.expr("slice(keys, 1, slot)").alias("keys"), "bits")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _whole(batches):
-            room, slot, marks = g["room"].to_numpy(), g["slot"].to_numpy(), _stack(g["mark"])
-            keys16, sketch = _split(marks, width)
-            at = _runs(room)
-            size = np.diff(at)
-            first = np.asarray(at[:-1])
-            keep = np.zeros(len(room), bool)
-            # rooms of two, which are most, all at once
-            i = first[size == 2]
-            met = ((keys16[i] == keys16[i + 1]) & (np.arange(width)[None, :] < slot[i][:, None])).any(axis=1)
-            ok = ~met & ((sketch[i] == sketch[i + 1]).sum(axis=1) >= least)
-            keep[i[ok]] = keep[i[ok] + 1] = True
-            for a, m in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-                keep[a : a + m] = New(keys16[a : a + m], int(slot[a]), sketch[a : a + m], least).needed()
+            keep = _kept(g, t)
             if keep.any():
-                yield from g.filter(pa.array(keep)).combine_chunks().to_batches()
+                yield from g.drop_columns(["bits"]).filter(pa.array(keep)).combine_chunks().to_batches()
         give_back()
 
-    seats = staged(entered.select("room", "slot", "rep", "mark").repartition("room").sortWithinPartitions("room").mapInArrow(assign, "room long, slot int, rep long, mark binary"))
+    seats = staged(entered.repartition("room", "part").sortWithinPartitions("room", "part", "slot").mapInArrow(assign, _MARK))
     taken = seats.count()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple] = []
-        held: list[tuple] = []
-        room = slot = None
+        held: dict[tuple, tuple] = {}  # by id and set, as rows may repeat
+        out: list[tuple] = []
+        now = None
 
         def close() -> None:
-            if len(held) < 2:
-                return
-            rows = sorted(held, key=lambda r: r[0])
-            ids, sets = np.array([r[0] for r in rows]), [r[1] for r in rows]
-            keys16, sketch = _split(np.stack([r[2] for r in rows]), width)
-            i, j, both = pairs(sets, New(keys16, slot, sketch, least), t)
-            if len(i):
-                size = np.array([len(s) for s in sets])
-                apart = ids[i] != ids[j]
-                found.append((ids[j][apart], ids[i][apart], (both / (size[i] + size[j] - both))[apart]))
+            if len(held) > 1:
+                out.extend(_linked(list(held.values()), now[1] >> 32 != now[1] & 0xFFFFFFFF, pairs, t))
+            held.clear()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["a", "b", "jaccard"])
-            found.clear()
-            return out
+            columns = [pa.array([r[k] for r in out], pa.int64()) for k in range(3)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, ["rep", "root", "links"])
 
         for batch in batches:
             for b in slices(batch):
-                sets, marks = gram_sets(b["text"], n), _stack(b["mark"])
-                rooms, slots, ids = b["room"].to_numpy(), b["slot"].to_numpy(), b["rep"].to_numpy()
-                at = _runs(rooms)
-                for a, c in zip(at, at[1:]):
-                    if room != rooms[a]:
+                sets = gram_sets(b["text"], n)
+                one = b["one"].to_numpy()
+                right = _sums(sets) == one  # else another text of the same id
+                reps_, sides = b["rep"].to_numpy(), b["side"].to_pylist()
+                rooms_ = list(zip(b["room"].to_pylist(), b["part"].to_pylist(), b["slot"].to_pylist()))
+                for i, row_keys in enumerate(_lists(b["keys"])):
+                    if rooms_[i] != now:
                         close()
-                        held.clear()
-                        room, slot = rooms[a], int(slots[a])
-                    held.extend(zip(ids[a:c].tolist(), sets[a:c], marks[a:c]))
-                if sum(len(f[0]) for f in found) > 100_000:
-                    yield flush()
+                        now = rooms_[i]
+                        if len(out) > 50_000:
+                            yield flush()
+                    if right[i]:
+                        held.setdefault((reps_[i], one[i]), (int(reps_[i]), sides[i], row_keys.copy(), sets[i]))
         close()
-        if found:
+        if out:
             yield flush()
-        held.clear()
         give_back()
 
-    texts = own.withColumnRenamed("doc_id", "rep")
-    if taken * 200 > _limit():
-        # only the texts that go to some room are shuffled
-        who = staged(seats.select("rep").distinct())
-        texts = texts.join(sized(who, who.count(), 16), "rep", "left_semi")
-    sent = texts.join(sized(seats, taken, 200), "rep").select("room", "slot", "rep", "mark", "text")
-    met = sent.repartition("room").sortWithinPartitions("room").mapInArrow(meet, "a long, b long, jaccard double")
-    return staged(met.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))), reps
-
-
-def _limit() -> int:
-    from ._stage import BROADCAST_BYTES
-
-    return BROADCAST_BYTES
-
-
-def _whole(batches: Iterator[pa.RecordBatch], column: str = "room", rows: int = 50_000) -> Iterator[pa.Table]:
-    """Tables of whole groups, about so many rows together."""
-    held: list[pa.RecordBatch] = []
-    total = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x = b[column].to_numpy(zero_copy_only=False)
-        if total >= rows:
-            # the group that goes on in this batch belongs to what is held
-            new = np.flatnonzero(x != held[-1][column][len(held[-1]) - 1].as_py())
-            if len(new):
-                k = int(new[0])
-                yield pa.Table.from_batches([*held, b.slice(0, k)]).combine_chunks()
-                held, total = [], 0
-                b = b.slice(k)
-        held.append(b)
-        total += b.num_rows
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def with_copies(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(docs_a, docs_b, jaccard): every document of docs_a pairs with every other of docs_b. Documents with equal sets stand in both lists of a row of their own."""
-    ids = reps.select("rep", "ids")
-    near = pairs.join(ids.select(F.col("rep").alias("a"), F.col("ids").alias("docs_a")), "a").join(ids.select(F.col("rep").alias("b"), F.col("ids").alias("docs_b")), "b").select("docs_a", "docs_b", "jaccard")
-    same = ids.filter(F.size("ids") > 1).select(F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same)
+    who = staged(seats.select("rep").distinct())
+    texts = own.select(F.col("doc_id").alias("rep"), "text").join(sized(who, who.count(), 16), "rep", "left_semi")
+    sent = texts.join(sized(seats.drop("size"), taken, SEAT_BYTES), "rep")
+    met = sent.repartition("room", "part").sortWithinPartitions("room", "part", "slot").mapInArrow(meet, "rep long, root long, links long")
+    return staged(met), members
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column; without a copy."""
+    flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def _kept(g: pa.Table, t: float) -> np.ndarray:
+    """Which rows of whole rooms have a partner there."""
+    marks = Marks(g["size"].to_numpy(), g["bits"].to_pylist(), t)
+    side, part = np.asarray(g["side"].to_numpy(), bool), g["part"].to_numpy()
+    across = (part >> 32) != (part & 0xFFFFFFFF)
+    column = g["keys"].chunk(0)
+    flat, length = column.flatten().to_numpy(), column.value_lengths().to_numpy().astype(np.int64)
+    begin = np.cumsum(length) - length
+    at = np.asarray(_runs(g["room"].to_numpy(), part, g["slot"].to_numpy()))
+    first, m = at[:-1], np.diff(at)
+    keep = np.zeros(g.num_rows, bool)
+    for size in np.unique(m[(m > 1) & (m <= SMALL)]).tolist():
+        x, y = np.triu_indices(size, 1)
+        starts = first[m == size]
+        for c in range(0, len(starts), max(1, 100_000 // len(x))):
+            some = starts[c : c + max(1, 100_000 // len(x))]
+            a, b = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
+            ok = ~across[a] | (side[a] != side[b])
+            a, b = a[ok], b[ok]
+            for k in range(int(length[a].max(initial=0))):
+                has = length[a] > k
+                same = np.zeros(len(a), bool)
+                same[has] = flat[begin[a[has]] + k] == flat[begin[b[has]] + k]
+                a, b = a[~same], b[~same]
+            if len(a):
+                ok = marks.able(a, b)
+                keep[a[ok]] = keep[b[ok]] = True
+    for a, k in zip(first[m > SMALL].tolist(), m[m > SMALL].tolist()):
+        keys = flat[begin[a] : begin[a] + k * length[a]].reshape(k, length[a]).T.copy()
+        keep[a : a + k] = needed(marks, a, keys, side[a : a + k] if across[a] else None)
+    return keep
+
+
+def _linked(rows: list[tuple], across: bool, pairs: Pairs, t: float) -> Iterator[tuple[int, int, int]]:
+    """(rep, root, links) of a room's rows (rep, side, keys, set); across: pairs are of different sides only."""
+    rows = sorted(rows, key=lambda r: (not r[1], r[0]) if across else r[0])
+    ids = np.array([r[0] for r in rows])
+    keys = np.stack([r[2] for r in rows]).T.copy()
+    m = len(rows)
+    fore = sum(r[1] for r in rows) if across else 0
+
+    def others(i: int) -> np.ndarray:
+        below = np.arange(min(i, fore) if across and i >= fore else 0 if across else i)
+        below = below[ids[below] != ids[i]]
+        return unmet(keys, i, below)
+
+    links, group = np.zeros(m, np.int64), np.arange(m)
+    for i, found in pairs([r[3] for r in rows], others, t):
+        links[i] += len(found)
+        links[found] += 1
+        roots = np.unique(group[found])
+        group[i] = roots[0]
+        if len(roots) > 1:
+            group[np.isin(group, roots[1:])] = roots[0]
+    at = np.flatnonzero(links)
+    lowest = np.full(m, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, group[at], ids[at])
+    return zip(ids[at].tolist(), lowest[group[at]].tolist(), links[at].tolist())
+
+
+def groups(met: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, class_id, group_id, links) of all documents that are similar to another, one row for each.
+
+    class_id is the lowest id of a document with the same set of n-grams, group_id the lowest that a chain of links leads to, links the number of other classes that the document's class is linked with. A doc_id with several texts has the lowest ids of all and the sum of the links.
+    """
+    total = met.groupBy("rep").agg(F.sum("links").alias("links"))
+    roots = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    linked = total.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    rows = members.join(linked, "rep", "left").filter("copies or links is not null")
+    return rows.groupBy("doc_id").agg(F.min("rep").alias("class_id"), F.min(F.coalesce("root", "rep")).alias("group_id"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for every id of edges (a, b): root is the lowest id that it is connected with. By alternating large and small stars, each round written."""
+    """(id, root) for every id of edges (a, b): root is the lowest id that it is connected with. By alternating large and small stars, each round written. A star's centre is joined with its rays, so no task holds all of them."""
 
     def marks(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.collect_set("v").alias("near"))
-        out = low.select("u", "m", F.explode(F.array_union("near", F.array("u"))).alias("v"))
-        out = out.filter("v > u" if large else "v <> m")
-        return out.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        rays = both.join(low, "u")
+        if large:
+            return rays.filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        out = rays.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return out.unionByName(low.filter("u <> m").select("u", F.col("m").alias("v"))).distinct()
 
     e = staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct())
     before = None

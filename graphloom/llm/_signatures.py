@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
+from ._text import mix
+
 
 def signatures(sets: list[np.ndarray], size: int, seed: int = 7) -> np.ndarray:
     """A row of `size` 32-bit minima for each set; no set is empty."""
@@ -25,3 +29,16 @@ def signatures(sets: list[np.ndarray], size: int, seed: int = 7) -> np.ndarray:
             out[i:j, k] = np.minimum.reduceat(y, begin) >> np.uint64(32)
         i = j
     return out
+
+
+def banded(bands: int, rows: int, seed: int) -> Callable[[list[np.ndarray]], np.ndarray]:
+    """A function that gives the hashes of each set's bands of minima, 64 bits of each."""
+
+    def of(sets: list[np.ndarray]) -> np.ndarray:
+        x = signatures(sets, bands * rows, seed).astype(np.uint64).reshape(len(sets), bands, rows)
+        h = np.zeros((len(sets), bands), np.uint64)
+        for r in range(rows):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[:, :, r] + np.uint64(1))
+        return h
+
+    return of

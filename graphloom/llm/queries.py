@@ -52,7 +52,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_pairs(documents(spark, sf_dir))
+    return minhash.near_duplicates(documents(spark, sf_dir))
 
 
 #: Target weights of op5: a source's number decides, so that shares differ; the schedule then isn't a mere round robin.

@@ -33,15 +33,19 @@ def jaccard_pairs(docs: dict[int, str], n: int, t: float) -> dict[tuple[int, int
     return out
 
 
-def spread(rows) -> dict[tuple[int, int], float]:
-    """Rows (docs_a, docs_b, jaccard) as single pairs."""
-    out = {}
-    for r in rows:
-        for a in r.docs_a:
-            for b in r.docs_b:
-                if a != b:
-                    out[min(a, b), max(a, b)] = r.jaccard
-    return out
+def similar_documents(docs: dict[int, str], n: int, t: float) -> set[tuple[int, int, int, int]]:
+    """(doc_id, class_id, group_id, links) of all documents that have a copy or a similar one."""
+    first: dict[frozenset, int] = {}
+    sets = {i: s for i in sorted(docs) if (s := gram_set(docs[i], n))}
+    of = {i: first.setdefault(s, i) for i, s in sets.items()}
+    pairs = jaccard_pairs({i: docs[i] for i in set(of.values())}, n, t)
+    root = roots(set(of.values()), pairs)
+    links = dict.fromkeys(root, 0)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    copies = {c for i, c in of.items() if i != c}
+    return {(i, c, root[c], links[c]) for i, c in of.items() if c in copies or links[c]}
 
 
 def roots(ids, pairs) -> dict[int, int]:

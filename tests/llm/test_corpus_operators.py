@@ -10,7 +10,8 @@ import tiktoken
 import brute
 from conftest_shared import matches_oracle
 from graphloom.llm import byte_bpe, exact_dedup, language_id, license_scan, minhash, mixing, ngram_join, queries, sharding, substring_dedup, token_counts
-from graphloom.llm._rooms import components
+from graphloom.llm._rooms import components, groups, similar
+from graphloom.llm._signatures import banded
 from graphloom.llm._stage import sized, staged
 
 
@@ -41,20 +42,41 @@ def test_exact_dedup(docs, texts):
 
 
 def test_ngram_join_and_groups(docs, texts):
-    want = brute.jaccard_pairs(texts, ngram_join.N, ngram_join.THRESHOLD)
-    got = brute.spread(ngram_join.ngram_join(docs).collect())
-    assert set(got) <= set(want) and all(abs(got[p] - want[p]) < 1e-12 for p in got)
-    assert len(got) >= 0.99 * len(want)
+    want = brute.similar_documents(texts, ngram_join.N, ngram_join.THRESHOLD)
+    rows = ngram_join.ngram_join(docs).collect()
+    assert len(rows) == len({r.doc_id for r in rows})
+    assert {tuple(r) for r in rows} == want and any(r.links for r in rows)
     kept = {r.doc_id for r in ngram_join.one_of_each_group(docs).collect()}
-    root = brute.roots(texts, got)
-    assert kept == {i for i in texts if root[i] == i}
+    assert kept == set(texts) - {i for i, _, g, _ in want if g != i}
 
 
 def test_minhash(docs, texts):
-    want = brute.jaccard_pairs(texts, minhash.N, minhash.THRESHOLD)
-    got = brute.spread(minhash.near_pairs(docs).collect())
-    assert set(got) <= set(want) and all(abs(got[p] - want[p]) < 1e-12 for p in got)
-    assert len(got) >= 0.95 * len(want)
+    want = brute.similar_documents(texts, minhash.N, minhash.THRESHOLD)
+    rows = minhash.near_duplicates(docs).collect()
+    assert {tuple(r) for r in rows} == want and any(r.links for r in rows)
+
+
+@pytest.mark.parametrize("keys, pairs", [(ngram_join.minima(40, 2), ngram_join.t_occurrence), (banded(36, 3, 7), minhash.verified)])
+def test_rooms_of_many_blocks(spark, keys, pairs):
+    """Rooms that are dealt into blocks give what undivided ones give."""
+    rows = []
+    for g in range(3):
+        for i in range(40):
+            w = [f"w{g}x{k}" for k in range(60)]
+            w[i] = f"edit{g}x{i}"
+            w[(7 * i) % 60] = "other"
+            rows.append((g * 100 + i, " ".join(w[: 60 - i % 5])))
+    rows += [(500 + i, f"text that stands alone {i} " + " ".join(f"z{i}y{k}" for k in range(9))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{tuple(r) for r in groups(*similar(docs, 3, 0.5, keys, pairs, b)).collect()} for b in (10**6, 500, 120)]
+    assert got[0] == got[1] == got[2] == brute.similar_documents(dict(rows), 3, 0.5)
+
+
+def test_an_id_with_several_texts(spark):
+    a, b = "one two three four five six seven eight", "red green blue cyan pink gold grey teal"
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " nine"), (3, b + " black"), (3, b + " black"), (4, "quite another text")], "doc_id long, text string")
+    got = {tuple(r) for r in ngram_join.ngram_join(docs).collect()}
+    assert got == {(1, 1, 1, 2), (2, 2, 1, 1), (3, 3, 1, 1)}
 
 
 def test_substring_dedup(spark, docs, texts):
@@ -192,7 +214,7 @@ OPERATORS = {
     "duplicates": exact_dedup.duplicates,
     "without_duplicates": exact_dedup.without_duplicates,
     "sharding": sharding.sharded,
-    "minhash": minhash.near_pairs,
+    "minhash": minhash.near_duplicates,
 }
 
 
@@ -213,7 +235,8 @@ def test_awkward_rows(spark):
     assert {tuple(r) for r in out["duplicates"]} == {(2, 1)} and len(out["duplicates"]) == 1
     kept = sorted((r.doc_id or 0, (r.text or "")[:5]) for r in out["without_duplicates"])
     assert kept == sorted([(1, "the s"), (3, ""), (4, ""), (0, ""), (5, "x"), (6, "word "), (7, "Übera"[:5]), (8, "   "), (8, "\0 zer")])
-    assert brute.spread(out["ngram_join"]) == brute.spread(out["minhash"]) == {(1, 2): 1.0}
+    for name in ("ngram_join", "minhash"):
+        assert sorted(tuple(r) for r in out[name]) == [(1, 1, 1, 0), (2, 1, 1, 0)]
     assert len(out["one_of_each_group"]) == len(ROWS) - 2
     assert out["one_of_each_group"][0].__fields__ == d.columns
     assert {(r.doc_id, r.start_word, r.end_word, r.first_doc) for r in out["substring_dedup"]} == {(1, 0, 7, 1), (2, 0, 7, 1)}

@@ -14,8 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import brute
-from graphloom.llm import byte_bpe, golomb, language_id, license_scan, minhash, mixing, ngram_join, sharding, substring_dedup, token_counts
-from graphloom.llm._rooms import New
+from graphloom.llm import _rooms, byte_bpe, golomb, language_id, license_scan, minhash, mixing, ngram_join, sharding, substring_dedup, token_counts
+from graphloom.llm._signatures import signatures
 from graphloom.llm._text import gram_sets, rolling, sliding_min, words
 
 TEXTS = st.text(alphabet=st.sampled_from("abAB09 .,'\n\tßéñ日 "), max_size=80)
@@ -147,21 +147,63 @@ def test_differencing_is_tighter_than_greedy():
     assert wins >= 18
 
 
+PLAIN = st.lists(st.sets(st.integers(1, 40), min_size=1, max_size=25), min_size=2, max_size=12)
+
+
+def _hashed(plain):
+    return [np.sort(np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in plain]
+
+
+def _similar(plain, t):
+    return {(a, b) for a in range(len(plain)) for b in range(a) if len(plain[a] & plain[b]) / len(plain[a] | plain[b]) >= t}
+
+
+@pytest.mark.parametrize("pairs", [ngram_join.t_occurrence, minhash.verified])
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sets(st.integers(1, 40), min_size=1, max_size=25), min_size=2, max_size=12), st.sampled_from([0.2, 0.4, 0.6, 1.0]))
-def test_t_occurrence_finds_what_comparing_all_finds(plain, t):
-    sets = [np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in plain]
-    sets = [np.sort(s) for s in sets]
-    i, j, n = ngram_join.t_occurrence(sets, New(np.zeros((len(sets), 0), np.uint32), 0), t)
-    want = {(a, b): len(plain[a] & plain[b]) for a in range(len(plain)) for b in range(a) if len(plain[a] & plain[b]) / len(plain[a] | plain[b]) >= t}
-    assert dict(zip(zip(i.tolist(), j.tolist()), n.tolist())) == want
+@given(PLAIN, st.sampled_from([0.2, 0.4, 0.6, 1.0]))
+def test_pairs_are_what_comparing_all_finds(pairs, plain, t):
+    got = [(i, j) for i, found in pairs(_hashed(plain), np.arange, t) for j in found.tolist()]
+    assert len(got) == len(set(got)) and set(got) == _similar(plain, t)
+
+
+@pytest.mark.parametrize("probe, heap", [(0, 0), (0, 10**9), (10**9, 0), (10**9, 10**9), (3, 5)])
+@settings(max_examples=30, deadline=None)
+@given(plain=PLAIN, t=st.sampled_from([0.3, 0.7]))
+def test_ways_of_merging_agree(probe, heap, plain, t):
+    """Whatever is probed and whatever is merged by the heap."""
+    before = ngram_join.PROBE, ngram_join.HEAP
+    ngram_join.PROBE, ngram_join.HEAP = probe, heap
+    try:
+        assert {(i, j) for i, found in ngram_join.t_occurrence(_hashed(plain), np.arange, t) for j in found.tolist()} == _similar(plain, t)
+    finally:
+        ngram_join.PROBE, ngram_join.HEAP = before
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(1, 300), min_size=1, max_size=120), min_size=2, max_size=8), st.sampled_from([0.2, 0.4, 0.6, 1.0]))
+def test_marks_pass_over_no_similar_pair(plain, t):
+    sets = _hashed(plain)
+    marks = _rooms.Marks(np.array([len(s) for s in sets]), _rooms.parity(sets), t)
+    a, b = (np.array(x) for x in zip(*((a, b) for a in range(len(sets)) for b in range(a))))
+    able = {(int(x), int(y)) for x, y, ok in zip(a, b, marks.able(a, b)) if ok}
+    assert _similar(plain, t) <= able
+    rooms = _rooms.needed(marks, 0, np.zeros((0, len(sets)), np.int64), None)
+    assert set(np.flatnonzero(rooms).tolist()) == {x for p in able for x in p}
+
+
+def test_marks_tell_unlike_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in rng.integers(200, 400, 60)]
+    marks = _rooms.Marks(np.array([len(s) for s in sets]), _rooms.parity(sets), 0.4)
+    a, b = np.triu_indices(60, 1)
+    assert not marks.able(a, b).any()
 
 
 def test_signatures_estimate_the_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
     b = np.concatenate([a[:700], rng.integers(0, 2**63, 300, dtype=np.uint64)])
-    s = minhash.signatures([np.sort(a), np.sort(b)], 512)
+    s = signatures([np.sort(a), np.sort(b)], 512)
     assert abs((s[0] == s[1]).mean() - 700 / 1300) < 0.08
 
 
