@@ -18,10 +18,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import importable, sized, staged
+from ._stage import BROADCAST_BYTES, importable, sized, staged
 from ._text import give_back, gram_sets, slices
 
 #: keys(sets) -> uint64 array of K keys, a row for each set.
@@ -35,8 +36,8 @@ Pairs = Callable[[list[np.ndarray], Others, float], Iterator[tuple[int, np.ndarr
 BLOCK_GRAMS = 2_000_000
 #: In rooms of up to so many classes all marks are compared in one array operation, many rooms at a time.
 SMALL = 24
-#: What a mark or a seat weighs in a broadcast.
-SEAT_BYTES = 400
+#: What a row of numbers weighs in a broadcast.
+ROW_BYTES = 40
 
 _MARK = "room long, part long, slot int, rep long, one long, side boolean, size int, keys array<long>"
 
@@ -173,7 +174,7 @@ def _whole(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa
 
 
 def classes(docs: DataFrame, n: int, keys: Keys) -> tuple[DataFrame, DataFrame]:
-    """Staged: (doc_id, rep, copies), a row for each document and its set, rep the lowest id that has the set, copies whether another has it; and (rep, one, size, keys, bits), a row for each set, with a sum of its hashes. Documents without a word have no set and no row."""
+    """(doc_id, rep, copies), a row for each document and its set, rep the lowest id that has the set, copies whether another has it; and (rep, one, size, keys, bits), a row for each set, with a sum of its hashes. Documents without a word have no set and no row."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,13 +199,17 @@ def classes(docs: DataFrame, n: int, keys: Keys) -> tuple[DataFrame, DataFrame]:
                 )
         give_back()
 
-    found = staged(docs.mapInArrow(profile, "doc_id long, one long, two long, size int, keys array<long>, bits binary"))
-    own = found.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("copies"))
-    of = staged(found.select("doc_id", "one", "two").join(own, ["one", "two"]).select("doc_id", "one", "two", "rep", "copies"))
-    alone = of.filter("doc_id = rep").select("doc_id", "one", "two").distinct()
-    # equal sets of one id have equal keys and bitmaps
-    reps = found.join(alone, ["doc_id", "one", "two"], "left_semi").dropDuplicates(["doc_id", "one", "two"])
-    return of.select("doc_id", "rep", "copies").distinct(), staged(reps.select(F.col("doc_id").alias("rep"), "one", "size", "keys", "bits"))
+    profiled = docs.mapInArrow(profile, "doc_id long, one long, two long, size int, keys array<long>, bits binary")
+    found = staged(profiled.withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct("doc_id", "row"))
+    own = found.groupBy("one", "two").agg(first.alias("first"), (F.max("doc_id") > F.min("doc_id")).alias("copies"))
+    of = staged(found.select("doc_id", "one", "two", "row").join(own, ["one", "two"]).select("doc_id", F.col("first.doc_id").alias("rep"), "copies", "row", (F.col("row") == F.col("first.row")).alias("own")))
+    gone = of.filter("not own").select("row")
+    number = gone.count()
+    reps = found.join(sized(gone, number, ROW_BYTES), "row", "left_anti").select(F.col("doc_id").alias("rep"), "one", "size", "keys", "bits")
+    if number * ROW_BYTES > BROADCAST_BYTES:
+        reps = staged(reps)  # else it is a scan
+    return of.select("doc_id", "rep", "copies").distinct(), reps
 
 
 def _sums(sets: list[np.ndarray]) -> np.ndarray:
@@ -221,8 +226,9 @@ def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs, block_g
     rooms = opened.groupBy("room").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).filter("m > 1")
     rooms = rooms.select("room", F.ceil(F.col("grams") / block_grams).cast("int").alias("blocks"))
     shared = opened.select("rep", "slot", "room").join(rooms, "room")
-    seated = shared.groupBy("rep").agg(F.collect_list(F.struct("room", "slot", "blocks")).alias("at"))  # of one id, K for each of its sets at most
-    at = seated.join(reps, "rep").select("rep", "one", "size", "keys", "bits", F.inline("at"))
+    seated = staged(shared.groupBy("rep").agg(F.collect_list(F.struct("room", "slot", "blocks")).alias("at")))  # of one id, K for each of its sets at most
+    some = reps.join(sized(seated.select("rep"), seated.count(), ROW_BYTES), "rep", "left_semi")
+    at = seated.join(some, "rep").select("rep", "one", "size", "keys", "bits", F.inline("at"))
     at = at.filter(F.xxhash64("slot", F.col("keys")[F.col("slot")]) == F.col("room"))  # where an id has several sets, each to its own rooms
     block = F.pmod(F.xxhash64("rep", "one"), F.col("blocks"))
     dealt = at.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -240,7 +246,8 @@ def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs, block_g
     taken = seats.count()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple] = {}  # by id and set, as rows may repeat
+        seated_here: dict[tuple, tuple] = {}  # by id and set
+        held: dict[tuple, tuple] = {}  # rows may repeat
         out: list[tuple] = []
         now = None
 
@@ -248,6 +255,7 @@ def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs, block_g
             if len(held) > 1:
                 out.extend(_linked(list(held.values()), now[1] >> 32 != now[1] & 0xFFFFFFFF, pairs, t))
             held.clear()
+            seated_here.clear()
 
         def flush() -> pa.RecordBatch:
             columns = [pa.array([r[k] for r in out], pa.int64()) for k in range(3)]
@@ -257,33 +265,37 @@ def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs, block_g
         for batch in batches:
             for b in slices(batch):
                 sets = gram_sets(b["text"], n)
-                one = b["one"].to_numpy()
-                right = _sums(sets) == one  # else another text of the same id
-                reps_, sides = b["rep"].to_numpy(), b["side"].to_pylist()
-                rooms_ = list(zip(b["room"].to_pylist(), b["part"].to_pylist(), b["slot"].to_pylist()))
-                for i, row_keys in enumerate(_lists(b["keys"])):
-                    if rooms_[i] != now:
+                sums, one, sides = _sums(sets).tolist(), b["one"].to_pylist(), b["side"].to_pylist()
+                rows = zip(b["room"].to_pylist(), b["part"].to_pylist(), b["slot"].to_pylist())
+                for i, (rep, row, row_keys) in enumerate(zip(b["rep"].to_pylist(), rows, _lists(b["keys"]))):
+                    if row != now:
                         close()
-                        now = rooms_[i]
+                        now = row
                         if len(out) > 50_000:
                             yield flush()
-                    if right[i]:
-                        held.setdefault((reps_[i], one[i]), (int(reps_[i]), sides[i], row_keys.copy(), sets[i]))
+                    if one[i] is not None:  # a seat; a room's seats come before its texts
+                        seated_here[rep, one[i]] = (rep, sides[i], row_keys.copy())
+                    elif (rep, sums[i]) in seated_here:  # else another text of the same id
+                        held.setdefault((rep, sums[i]), (*seated_here[rep, sums[i]], sets[i]))
         close()
         if out:
             yield flush()
         give_back()
 
-    who = staged(seats.select("rep").distinct())
-    texts = own.select(F.col("doc_id").alias("rep"), "text").join(sized(who, who.count(), 16), "rep", "left_semi")
-    sent = texts.join(sized(seats.drop("size"), taken, SEAT_BYTES), "rep")
-    met = sent.repartition("room", "part").sortWithinPartitions("room", "part", "slot").mapInArrow(meet, "rep long, root long, links long")
+    going = seats.select("room", "part", "slot", "rep").distinct()
+    texts = own.select(F.col("doc_id").alias("rep"), "text")
+    if taken * ROW_BYTES > BROADCAST_BYTES:  # then texts are joined by a shuffle, but no others than those
+        who = staged(seats.select("rep").distinct())
+        texts = texts.join(sized(who, who.count(), ROW_BYTES), "rep", "left_semi")
+    sent = texts.join(sized(going, taken, ROW_BYTES), "rep").unionByName(seats.drop("size"), allowMissingColumns=True)
+    met = sent.repartition("room", "part").sortWithinPartitions("room", "part", "slot", F.col("text").isNotNull()).mapInArrow(meet, "rep long, root long, links long")
     return staged(met), members
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
-    """The rows of a list column; without a copy."""
-    flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    """The rows of a list column, without a copy; none where it is null."""
+    length = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(length)])
     return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
