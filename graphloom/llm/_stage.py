@@ -52,6 +52,14 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sized(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df to be broadcast if rows of row_bytes are within the limit, else unchanged, so that a shuffle joins it."""
     return F.broadcast(df) if rows * row_bytes <= limit else df.hint("merge")

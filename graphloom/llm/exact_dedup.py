@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golomb
-from ._stage import importable, sized, staged
+from ._stage import fresh, importable, sized, staged
 
 SPARE_BITS = 10
 #: Fingerprints that one owner is to receive at most, about.
@@ -86,8 +86,10 @@ def suspects(docs: DataFrame, spare_bits: int = SPARE_BITS) -> tuple[DataFrame,
     return found, bits, found.count()
 
 
-def _verified(docs: DataFrame, found: DataFrame, bits: int, number: int) -> DataFrame:
-    return docs.withColumn("__fp", fingerprint(bits)).join(sized(found.withColumnRenamed("fp", "__fp"), number, 16), "__fp", "left_semi").withColumn("__h", F.xxhash64("text"))
+def _verified(docs: DataFrame, found: DataFrame, bits: int, number: int) -> tuple[DataFrame, str]:
+    """Rows of docs with a suspect's fingerprint, and the name of a column with another hash of their texts."""
+    fp, h = fresh(docs, "__fp"), fresh(docs, "__h")
+    return docs.withColumn(fp, fingerprint(bits)).join(sized(found.withColumnRenamed("fp", fp), number, 16), fp, "left_semi").withColumn(h, F.xxhash64("text")), h
 
 
 def duplicates(docs: DataFrame, spare_bits: int = SPARE_BITS) -> DataFrame:
@@ -97,19 +99,28 @@ def duplicates(docs: DataFrame, spare_bits: int = SPARE_BITS) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
     found, bits, number = suspects(own, spare_bits)
-    groups = _verified(own, found, bits, number).groupBy("__h", "text").agg(F.min("doc_id").alias("keep_id"), F.collect_set("doc_id").alias("ids")).filter(F.size("ids") > 1)
-    return groups.select("keep_id", F.explode("ids").alias("doc_id")).filter("doc_id > keep_id").select("doc_id", "keep_id")
+    rows, h = _verified(own, found, bits, number)
+    # equal bytes meet here, one text for each task that has it; where all texts of a hash are one, ids find their group by the hash alone
+    groups = rows.groupBy(h, "text").agg(F.min("doc_id").alias("keep_id"))
+    texts = groups.groupBy(h).agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"))
+    by_hash = rows.select("doc_id", h).join(texts.filter("texts = 1").select(h, "keep_id"), h)
+    several = texts.filter("texts > 1").select(h)
+    by_text = rows.join(several, h, "left_semi").join(groups.join(several, h, "left_semi"), [h, "text"])
+    pairs = by_hash.select("doc_id", "keep_id").unionByName(by_text.select("doc_id", "keep_id"))
+    return pairs.filter("doc_id > keep_id").distinct()
 
 
 def without_duplicates(docs: DataFrame, spare_bits: int = SPARE_BITS) -> DataFrame:
     """docs with one row for each distinct text: that of the lowest doc_id, null ids last, and of those of one id the least by its other columns. Rows without text all stay. The columns stay as they are."""
     found, bits, number = suspects(docs, spare_bits)
-    few = sized(found.withColumnRenamed("fp", "__fp"), number, 16)
-    rest = docs.withColumn("__fp", fingerprint(bits)).join(few, "__fp", "left_anti").drop("__fp")
+    fp, row = fresh(docs, "__fp"), fresh(docs, "__row")
+    few = sized(found.withColumnRenamed("fp", fp), number, 16)
+    rest = docs.withColumn(fp, fingerprint(bits)).join(few, fp, "left_anti").drop(fp)
     clean = docs.filter(F.col("text").isNull())
     others = [c for c in docs.columns if c != "text"]
     value = F.struct(*(F.col(f"`{c}`") for c in others))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.to_json(value))
-    one = _verified(docs.filter(F.col("text").isNotNull()), found, bits, number).groupBy("__h", "text").agg(F.min_by(value, order).alias("__row"))
-    one = one.select(*(F.col("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
+    rows, h = _verified(docs.filter(F.col("text").isNotNull()), found, bits, number)
+    one = rows.groupBy(h, "text").agg(F.min_by(value, order).alias(row))
+    one = one.select(*(F.col("text") if c == "text" else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns))
     return rest.filter(F.col("text").isNotNull()).unionByName(one).unionByName(clean)

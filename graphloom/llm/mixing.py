@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._stage import fresh
+
 BLOCK_BYTES = 1 << 16
 PERIOD = 1000
 #: Buckets of a source by hash, in which its bytes are summed up apart.
@@ -144,16 +146,18 @@ def to_weights(docs: DataFrame, weights: dict[str, float], block_bytes: int = BL
     ends = horizon(docs, weights, block_bytes, period)
     b = blocks(docs, block_bytes)
     limit = F.broadcast(docs.sparkSession.createDataFrame(list(ends.items()), "source string, blocks long"))
+    name, end = fresh(docs, "__source"), fresh(docs, "__last")
     # the last document of each source, a row for each; documents are told by it without a shuffle of their texts
-    last = b.join(limit, "source").filter("block < blocks").groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("__last")).withColumnRenamed("source", "__source")
+    last = b.join(limit, "source").filter("block < blocks").groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias(end)).withColumnRenamed("source", name)
     rows = last.collect()
     last = F.broadcast(docs.sparkSession.createDataFrame(rows, last.schema))
     own = F.struct(F.md5(F.col("doc_id").cast("string")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
-    return docs.filter("doc_id is not null").join(last, (_source() == F.col("__source")) & (own <= F.col("__last")), "left_semi")
+    return docs.filter("doc_id is not null").join(last, (_source() == F.col(name)) & (own <= F.col(end)), "left_semi")
 
 
 def scheduled(docs: DataFrame, weights: dict[str, float], block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
     """All rows of docs in the order of the schedule: as long as sources last, every beginning of it is in proportion to the weights. Columns stay. A source that ends, however small, takes no other source's documents along. Rows without doc_id or of sources without weight come last."""
-    slots = mixed(docs, weights, block_bytes, period).select(F.col("doc_id").alias("__doc"), F.col("slot").alias("__slot"))
-    d = docs.join(slots, F.col("doc_id").cast("long") == F.col("__doc"), "left")
-    return d.orderBy(F.col("__slot").asc_nulls_last(), F.md5(F.col("doc_id").cast("string"))).select(*(docs[f"`{c}`"] for c in docs.columns))
+    doc, slot = fresh(docs, "__doc"), fresh(docs, "__slot")
+    slots = mixed(docs, weights, block_bytes, period).select(F.col("doc_id").alias(doc), F.col("slot").alias(slot))
+    d = docs.join(slots, docs["doc_id"].cast("long") == F.col(doc), "left")
+    return d.orderBy(F.col(slot).asc_nulls_last(), F.md5(F.col("doc_id").cast("string"))).select(*(docs[f"`{c}`"] for c in docs.columns))

@@ -177,7 +177,7 @@ def test_components_of_chains_and_rings(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
 
 
-AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, rep long, fp long, block int, keys string, `__v` string"
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, rep long, fp long, block int, keys string, `__v` string, `__FP` string, `__h` int, `__row` int, `__source` int, `__last` int, `__doc` int, `__slot` int, `__gone` long"
 LONG = "word number eleven, again and again. " * 60_000
 ROWS = [
     (1, "the same text of some words here", "en", "a"),
@@ -196,7 +196,7 @@ ROWS = [
 
 
 def awkward(spark, rows=ROWS):
-    return spark.createDataFrame([(*r, 1, 2, 3, 4, "k", "v") for r in rows], AWKWARD)
+    return spark.createDataFrame([(*r, 1, 2, 3, 4, "k", "v", "f", 1, 2, 3, 4, 5, 6, 7) for r in rows], AWKWARD)
 
 
 OPERATORS = {
@@ -208,6 +208,7 @@ OPERATORS = {
     "accepted": lambda d: language_id.accepted(d, language_id.train(d)),
     "mixed": lambda d: mixing.mixed(d, None),
     "mixed by weights": lambda d: mixing.mixed(d, {"a": 1.0, "none": 2.0, "b": 0.0}),
+    "scheduled": lambda d: mixing.scheduled(d, mixing.target_weights(d, 0.5)),
     "to_weights": lambda d: mixing.to_weights(d, mixing.target_weights(d, 0.5)),
     "license_scan": license_scan.license_scan,
     "byte_bpe": byte_bpe.encoded,
