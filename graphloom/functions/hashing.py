@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Collection
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,14 +17,14 @@ def sha_prefix(c: Column | str, n: int = 16) -> Column:
     return F.substring(F.sha2(col(c).cast("string"), 256), 1, n)
 
 
-def identity_text(cls: str, fields: dict[str, Column | str]) -> Column:
-    """field=canonical pairs in the order of the names, after the class."""
-    return F.concat_ws("|", F.lit(cls), *(F.concat(F.lit(f"{k}="), canonical_id(k, fields[k])) for k in sorted(fields)))
+def identity_text(cls: str, fields: dict[str, Column | str], numbers: Collection[str] = ()) -> Column:
+    """field=canonical pairs in the order of the names, after the class. numbers: the fields that are whole numbers."""
+    return F.concat_ws("|", F.lit(cls), *(F.concat(F.lit(f"{k}="), canonical_id(k, fields[k], k in numbers)) for k in sorted(fields)))
 
 
-def node_id(cls: str, fields: dict[str, Column | str]) -> Column:
+def node_id(cls: str, fields: dict[str, Column | str], numbers: Collection[str] = ()) -> Column:
     """Class_ and 16 hex digits of SHA-256 over the canonical identity, wholly in the JVM."""
-    return F.concat(F.lit(f"{cls}_"), sha_prefix(identity_text(cls, fields)))
+    return F.concat(F.lit(f"{cls}_"), sha_prefix(identity_text(cls, fields, numbers)))
 
 
 def compatible_node_id(cls: str, fields: list[str]) -> Column:

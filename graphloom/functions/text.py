@@ -16,39 +16,68 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@lru_cache(1)
-def _folds() -> tuple[str, str, dict[str, str], str]:
-    """Of every character whose compatibility decomposition, case-folded, has ASCII letters or digits: pairs for translate, longer expansions, and combining marks."""
-    one_from, one_to, more, marks = [], [], {}, []
-    for code in range(0x80, min(sys.maxunicode, 0xFFFF) + 1):
-        c = chr(code)
-        if 0xD800 <= code < 0xE000:
+_ASCII = r"^[\x00-\x7F]*$"
+_PAIR, _HAS = "\ue000", "\ue001"
+
+
+def _characters(of) -> tuple[str, str, dict[str, str]]:
+    """What `of` changes among all characters beyond ASCII: pairs for translate, and those that become several."""
+    one_from, one_to, more = [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xAC00 <= code < 0xE000:  # Hangul syllables and surrogates stay
             continue
-        if unicodedata.combining(c):
-            marks.append(c)
-        s = "".join(x for x in unicodedata.normalize("NFKD", c).casefold() if x.isascii() and x.isalnum())
-        if len(s) == 1:
+        c = chr(code)
+        s = of(c)
+        if len(s) == 1 and s != c:
             one_from.append(c), one_to.append(s)
-        elif s:
+        elif len(s) > 1:
             more[c] = s
-    return "".join(one_from), "".join(one_to), more, "".join(marks)
+    return "".join(one_from), "".join(one_to), more
+
+
+def _class(chars) -> str:
+    """A character class for Java's regular expressions."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def _looked_up(s: Column, pieces: str, table: dict[str, str]) -> Column:
+    """Each piece of s, by what the table has for it."""
+    known = F.str_to_map(F.lit(_PAIR.join(f"{k}{_HAS}{v}" for k, v in table.items())), F.lit(_PAIR), F.lit(_HAS))  # a constant, folded by the optimizer
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(pieces), F.lit(0)), lambda p: F.coalesce(F.element_at(known, p), p)), "")
+
+
+@lru_cache(1)
+def _folds() -> tuple[str, str, dict[str, str], str]:
+    def of(c: str) -> str:
+        return "".join(x for x in unicodedata.normalize("NFKD", c).casefold() if x.isascii() and x.isalnum()) or c
+
+    a, b, more = _characters(of)
+    return a, b, more, _class(more)
 
 
 def ascii_fold(c: Column | str) -> Column:
-    """Lower case with compatibility forms and accents folded to ASCII where that is possible; other characters stay."""
-    a, b, more, _ = _folds()
-    out = F.translate(F.lower(F.translate(col(c), a, b)), a, b)
-    longer = out
-    for k, v in more.items():
-        if ord(k) < 0x2200 or 0xFB00 <= ord(k) <= 0xFB06:
-            longer = F.replace(longer, F.lit(k), F.lit(v))
-    chars = "".join(k for k in more if ord(k) < 0x2200 or 0xFB00 <= ord(k) <= 0xFB06)
-    return F.when(out.rlike(f"[{chars}]"), longer).otherwise(out)
+    """Lower case, each character that has ASCII letters or digits in its compatibility decomposition replaced by those; other characters stay. Texts that are ASCII anyway, which most are, take one look and lower()."""
+    a, b, more, some = _folds()
+    s = col(c)
+    single = F.lower(F.translate(s, a, b))
+    several = F.lower(F.translate(_looked_up(s, r"(?s).", more), a, b))
+    return F.when(s.rlike(_ASCII), F.lower(s)).when(s.rlike(some), several).otherwise(single)
 
 
 def fold_id(c: Column | str) -> Column:
     """The generic identity fold: trimmed, compatibility-decomposed, case-folded, only a-z and 0-9 left; null is ''."""
-    return F.coalesce(F.regexp_replace(ascii_fold(F.trim(col(c).cast("string"))), "[^a-z0-9]", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(ascii_fold(col(c).cast("string")), "[^a-z0-9]", ""), F.lit(""))
+
+
+def fold_number(c: Column | str) -> Column:
+    """fold_id of a whole number: its digits."""
+    return F.coalesce(F.translate(col(c).cast("string"), "-", ""), F.lit(""))
 
 
 def squash(c: Column | str) -> Column:
@@ -58,8 +87,11 @@ def squash(c: Column | str) -> Column:
 
 def normalize_name(c: Column | str) -> Column:
     """The entity name form: accents stripped, a leading article and possessive 's dropped, words joined by _ in upper case. Null is ''."""
-    a, b, _, marks = _name_folds()
-    s = F.trim(F.translate(F.translate(col(c), marks, ""), a, b))
+    a, b, more, some = _name_folds()
+    s = col(c)
+    plain = lambda x: F.translate(F.translate(x, _marks(), ""), a, b)
+    s = F.when(s.rlike(_ASCII), s).when(s.rlike(some), plain(_looked_up(s, r"(?s).", more))).otherwise(plain(s))
+    s = F.regexp_replace(s, r"^\s+|\s+$", "")
     s = F.trim(F.regexp_replace(s, "^(?:The |the |A |a |An |an )", ""))
     s = F.when(s.rlike("^(?:[Tt]he|[Aa]|[Aa]n)$"), "").otherwise(s)
     words = F.transform(F.filter(F.split(s, r"[\s_\-]+"), lambda w: w != ""), lambda w: F.regexp_replace(w, "['’]s$", ""))
@@ -67,20 +99,39 @@ def normalize_name(c: Column | str) -> Column:
 
 
 @lru_cache(1)
-def _name_folds() -> tuple[str, str, None, str]:
-    """Characters that decompose to one base character and marks, case kept."""
-    a, b = [], []
-    for code in range(0x80, 0xFFFF):
-        if 0xD800 <= code < 0xE000:
-            continue
-        s = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
-        if len(s) == 1 and s != chr(code):
-            a.append(chr(code)), b.append(s)
-    return "".join(a), "".join(b), None, _folds()[3]
+def _name_folds() -> tuple[str, str, dict[str, str], str]:
+    """By compatibility decomposition without marks, case kept."""
+    a, b, more = _characters(lambda c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) or c)
+    return a, b, more, _class(more)
+
+
+@lru_cache(1)
+def _marks() -> str:
+    return "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.combining(c))
+
+
+@lru_cache(1)
+def _compositions() -> dict[str, str]:
+    """A character and its marks, where together they are one character."""
+    out = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        if 1 < len(parts) < 5 and not 0xAC00 <= code < 0xD7B0 and unicodedata.normalize("NFKC", parts) == c:
+            out[parts] = c
+    return out
+
+
+@lru_cache(1)
+def _shadow_folds() -> tuple[str, str, dict[str, str], str]:
+    a, b, more = _characters(lambda c: "".join(unicodedata.normalize("NFKC", c).casefold().split()))
+    return a, b, more, _class(more)
 
 
-def canonical_id(field: str, c: Column | str) -> Column:
-    """The form in which an identity field is compared: names and titles by normalize_name, anything else by fold_id. Arrays are the sorted distinct folds of their items."""
+def canonical_id(field: str, c: Column | str, number: bool = False) -> Column:
+    """The form in which an identity field is compared: names and titles by normalize_name, anything else by fold_id. number: c is a column of whole numbers."""
+    if number:
+        return fold_number(c)
     return normalize_name(c) if field in ("name", "title", "nom") else fold_id(c)
 
 
@@ -89,8 +140,13 @@ def canonical_list(c: Column | str) -> Column:
 
 
 def equivalence_key(c: Column | str) -> Column:
-    """Strings are equivalent if they agree after compatibility and case folding without white space."""
-    return F.regexp_replace(F.lower(ascii_fold(col(c).cast("string"))), r"\s+", "")
+    """Strings are equivalent if they agree after compatibility composition and case folding without white space; accents tell them apart."""
+    a, b, more, some = _shadow_folds()
+    s = col(c).cast("string")
+    whole = F.when(s.rlike(r"\p{M}"), _looked_up(s, r"(?s)\P{M}\p{M}*|\p{M}", _compositions())).otherwise(s)
+    fold = lambda x: F.lower(F.translate(x, a, b))
+    out = F.when(s.rlike(_ASCII), F.lower(s)).when(whole.rlike(some), fold(_looked_up(whole, r"(?s).", more))).otherwise(fold(whole))
+    return F.regexp_replace(out, r"(?U)\s+", "")
 
 
 def digit_signature(c: Column | str) -> Column:

@@ -43,8 +43,9 @@ def long_values(nodes: DataFrame) -> DataFrame:
 
 def fold_values(values: DataFrame, combine: tuple[str, ...] = COMBINE, limit: int = MAX_COMBINED) -> DataFrame:
     """(node_id, key, value, conflicts): the first value; later ones that aren't equivalent are conflicts in their order, but for combined keys, whose new sentences are appended, and JSON lists, whose new items are."""
-    place = F.struct("input", "pos", "value")
-    rows = values.groupBy("node_id", "key").agg(F.array_sort(F.collect_list(place)).alias("rows"))
+    # a value that repeats counts where it stands first; what is listed is a node's different values of a key, not its rows
+    different = values.groupBy("node_id", "key", "value").agg(F.min(F.struct("input", "pos")).alias("place"))
+    rows = different.groupBy("node_id", "key").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("rows"))
     first = F.col("rows")[0]["value"]
     rest = F.transform(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), lambda r: r["value"])
     texts = F.transform("rows", lambda r: r["value"])
@@ -70,10 +71,10 @@ def fold_nodes(nodes: DataFrame, combine: tuple[str, ...] = COMBINE, keep_all: b
 
 def fold_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One edge a pair with the first label; the others in also_labels, in order. Second: label conflicts (src, dst, kept, dropped)."""
-    place = F.struct("input", "pos", "label")
-    e = edges.groupBy("src", "dst").agg(F.array_sort(F.collect_list(place)).alias("rows"))
-    labels = F.array_distinct(F.transform("rows", lambda r: r["label"]))
-    out = e.select("src", "dst", labels[0].alias("label"), F.struct(F.col("rows")[0]["input"].alias("input"), F.col("rows")[0]["pos"].alias("pos")).alias("pos"), F.array_except(labels, F.array(labels[0])).alias("also_labels"))
+    different = edges.groupBy("src", "dst", "label").agg(F.min(F.struct("input", "pos")).alias("place"))
+    e = different.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("rows"))
+    labels = F.transform("rows", lambda r: r["label"])
+    out = e.select("src", "dst", labels[0].alias("label"), F.col("rows")[0]["place"].alias("pos"), F.array_except(labels, F.array(labels[0])).alias("also_labels"))
     return out, out.filter(F.size("also_labels") > 0).select("src", "dst", F.col("label").alias("kept"), F.explode("also_labels").alias("dropped"))
 
 
