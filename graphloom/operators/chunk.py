@@ -105,15 +105,16 @@ def batches(chunked: DataFrame, key: str, limit: int) -> DataFrame:
     return g.select(key, F.inline(F.arrays_zip(F.transform("c", lambda x: x["chunk_id"]).alias("chunk_id"), F.col("b").alias("batch"))))
 
 
-def window_starts(total: Column | str, budget: int, most: int) -> Column:
-    """Starts of evenly spaced windows of budget characters, as few as cover the text and at most so many; one at 0 if the text is within the budget."""
+def window_starts(total: Column | str, budget: int, most: int | None = None) -> Column:
+    """Starts of evenly spaced windows of budget characters, as few as cover the text, at most so many if most is given; one at 0 if the text is within the budget."""
     t = F.col(total) if isinstance(total, str) else total
-    n = F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(t / F.lit(float(budget))))).cast("int")
+    n = F.ceil(t / F.lit(float(budget)))
+    n = F.greatest(F.lit(1), n if most is None else F.least(F.lit(most), n)).cast("int")
     even = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.floor(i * (t - budget) / F.greatest(n - 1, F.lit(1))).cast("int"))
     return F.when(n <= 1, F.array(F.lit(0))).otherwise(even)
 
 
-def windows(docs: DataFrame, key: str, budget: int, most: int, text: str = "text") -> DataFrame:
+def windows(docs: DataFrame, key: str, budget: int, most: int | None = None, text: str = "text") -> DataFrame:
     """(key, window, start, text) of each document."""
     w = docs.select(key, F.col(text).alias("__t"), F.posexplode(window_starts(F.length(text), budget, most)).alias("window", "start"))
     return w.select(key, "window", "start", F.substring(F.col("__t"), F.col("start") + 1, F.lit(budget)).alias("text"))

@@ -11,20 +11,28 @@ from pyspark.sql.window import Window
 from .build import Graph
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the folder that executors share and read again, so that iteration doesn't grow the lineage."""
-    spark: SparkSession = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """A new path in the folder that executors share, as spark.checkpoint.dir names it. Where that is unset a folder of this machine will do in local mode alone, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        import tempfile
-
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = given.get() if given.isDefined() else "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        if not given.isDefined():
+        if given.isDefined():
+            at = given.get()
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            import tempfile
+
+            at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
             spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the folder that executors share and read again, so that iteration doesn't grow the lineage."""
+    path = shared(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def node_types(g: Graph) -> DataFrame:

@@ -102,12 +102,12 @@ edges AS (
   SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'PART_OF' AS label FROM nation
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'IN' FROM customer
   UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'IN' FROM supplier
-  UNION ALL SELECT DISTINCT 's' || l_suppkey, 'c' || o_custkey, 'SERVES' FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'R')
+  UNION ALL SELECT DISTINCT 's' || l_suppkey, 'c' || o_custkey, 'SERVES' FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
 """
 
 
 def trade(spark: SparkSession, d: str) -> Graph:
-    """Regions, nations, customers and suppliers; suppliers serve the customers of urgent orders with returned lines."""
+    """Regions, nations, customers and suppliers; suppliers serve the customers of the lines that they send."""
     none = F.create_map().cast("map<string,string>")
 
     def nodes(name: str, cls: str, p: str, key: str, attrs: Column = none) -> DataFrame:
@@ -117,7 +117,7 @@ def trade(spark: SparkSession, d: str) -> Graph:
         return df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst"), F.lit(label).alias("label"), F.struct(F.col(x).cast("long").alias("rec"), F.lit(0).alias("place"), F.lit("").alias("ix")).alias("pos"), F.lit(False).alias("closed"))
 
     c, s, n = table(spark, d, "customer"), table(spark, d, "supplier"), table(spark, d, "nation")
-    served = table(spark, d, "lineitem").filter("l_returnflag = 'R'").join(table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct()
+    served = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct()
     all_nodes = nodes("region", "Region", "r", "r_regionkey", F.create_map(F.lit("name"), "r_name")).unionByName(nodes("nation", "Nation", "n", "n_nationkey", F.create_map(F.lit("name"), "n_name")))
     all_nodes = all_nodes.unionByName(nodes("customer", "Customer", "c", "c_custkey", F.create_map(F.lit("name"), "c_name", F.lit("segment"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("")))).unionByName(nodes("supplier", "Supplier", "s", "s_suppkey", F.create_map(F.lit("name"), "s_name")))
     all_edges = edges(n, "n", "n_nationkey", "r", "n_regionkey", "PART_OF").unionByName(edges(c, "c", "c_custkey", "n", "c_nationkey", "IN")).unionByName(edges(s, "s", "s_suppkey", "n", "s_nationkey", "IN")).unionByName(edges(served, "s", "l_suppkey", "c", "o_custkey", "SERVES"))
@@ -125,9 +125,9 @@ def trade(spark: SparkSession, d: str) -> Graph:
 
 
 def geography(spark: SparkSession, d: str) -> Graph:
-    """Regions and nations of the trade graph."""
+    """Regions, nations and suppliers, each below the other: all rows of the three tables, and a tree for each region."""
     g = trade(spark, d)
-    return Graph(g.nodes.filter("class in ('Region', 'Nation')"), g.edges.filter("label = 'PART_OF'"))
+    return Graph(g.nodes.filter("class <> 'Customer'"), g.edges.filter("label = 'PART_OF' or label = 'IN' and src like 's%'"))
 
 
 @query(_TRADE + """
@@ -169,10 +169,10 @@ def degree_statistics(spark: SparkSession, d: str) -> DataFrame:
     return stats.degrees(trade(spark, d)).groupBy("class").agg(F.count("*").alias("nodes"), F.min("degree").alias("least"), F.max("degree").alias("most"), F.avg("degree").alias("mean"))
 
 
-@query("SELECT 'p' || p_partkey AS node_id, 'Part' AS class FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT 'p' || p_partkey AS node_id, 'Part' AS class FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), F.lit("Part").alias("class"))
-    e = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
     return stats.isolated(Graph(n, e))
 
 
@@ -203,11 +203,11 @@ root AS (SELECT node_id, min(k) AS k FROM up GROUP BY node_id)
 
 
 def order_tree(spark: SparkSession, d: str) -> Graph:
-    """Every order below the one of its number without the last digit, where its status isn't F: a forest."""
+    """Every order below the one of its number without the last digit, but those of status F below themselves: a forest."""
     o = table(spark, d, "orders")
     name = lambda c: F.concat(F.lit("o"), c.cast("string"))
     n = o.select(name(F.col("o_orderkey")).alias("node_id"), F.lit("Order").alias("class"))
-    e = o.filter("o_orderstatus <> 'F'").select(name(F.expr("o_orderkey div 10")).alias("src"), name(F.col("o_orderkey")).alias("dst"), F.lit("ABOVE").alias("label"))
+    e = o.select(name(F.expr("if(o_orderstatus = 'F', o_orderkey, o_orderkey div 10)")).alias("src"), name(F.col("o_orderkey")).alias("dst"), F.lit("ABOVE").alias("label"))
     return Graph(n, e)
 
 
@@ -221,10 +221,11 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
     return stats.component_sizes(order_tree(spark, d))
 
 
-@query("SELECT 's' || s_suppkey AS src, 'r' || n_regionkey AS dst FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+@query("""
+SELECT 's' || s_suppkey AS src, 'r' || n_regionkey AS dst FROM supplier JOIN nation ON n_nationkey = s_nationkey
+UNION ALL SELECT 'c' || c_custkey, 'r' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def two_hops(spark: SparkSession, d: str) -> DataFrame:
-    g = trade(spark, d)
-    return stats.neighbours(Graph(g.nodes, g.edges.filter("src like 's%' or src like 'n%'")), 2, ["IN", "PART_OF"])
+    return stats.neighbours(trade(spark, d), 2, ["IN", "PART_OF"])
 
 
 @query("""
@@ -237,16 +238,22 @@ def paths_up_to_three(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT n_regionkey, count(*) AS k FROM nation GROUP BY 1)
-SELECT CAST(sum(2 * k + k * (k - 1)) AS BIGINT) AS pairs, sum(2 * k + 2 * k * (k - 1)) / CAST(sum(2 * k + k * (k - 1)) AS DOUBLE) AS average_path, 2 AS diameter FROM n""")
+WITH v AS (
+  SELECT r_regionkey AS r, NULL AS n, NULL AS s, 0 AS depth FROM region
+  UNION ALL SELECT n_regionkey, n_nationkey, NULL, 1 FROM nation
+  UNION ALL SELECT n_regionkey, n_nationkey, s_suppkey, 2 FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+p AS (SELECT a.depth + b.depth - 2 * CASE WHEN a.n = b.n THEN 1 ELSE 0 END AS hops FROM v a JOIN v b ON a.r = b.r AND (a.n, a.s) IS DISTINCT FROM (b.n, b.s))
+SELECT count(*) AS pairs, avg(hops) AS average_path, max(hops) AS diameter FROM p""")
 def path_summary(spark: SparkSession, d: str) -> DataFrame:
     return stats.path_summary(geography(spark, d))
 
 
 @query("""
-WITH k AS (SELECT n_regionkey, count(*) AS k FROM nation GROUP BY 1)
-SELECT 'r' || r_regionkey AS node_id, CAST(coalesce(k * (k - 1) / 2, 0) AS DOUBLE) AS betweenness FROM region LEFT JOIN k ON n_regionkey = r_regionkey
-UNION ALL SELECT 'n' || n_nationkey, 0.0 FROM nation""")
+WITH n AS (SELECT n_regionkey AS r, n_nationkey AS n, count(s_suppkey) AS k FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2),
+t AS (SELECT r, sum(1 + k) AS below, sum((1 + k) * (1 + k)) AS squares FROM n GROUP BY r)
+SELECT 'r' || r_regionkey AS node_id, CAST(coalesce((below * below - squares) / 2, 0) AS DOUBLE) AS betweenness FROM region LEFT JOIN t ON r = r_regionkey
+UNION ALL SELECT 'n' || n, CAST((below * below - k - (below - k) * (below - k)) / 2 AS DOUBLE) FROM n JOIN t USING (r)
+UNION ALL SELECT 's' || s_suppkey, 0.0 FROM supplier""")
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
     return stats.betweenness(geography(spark, d))
 
@@ -392,10 +399,10 @@ def merge_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT conv_id AS input, CASE WHEN role = 'system' THEN NULL ELSE role || (conv_id // 3) END AS document_id, 'p' || (conv_id // 2) AS path FROM conversations WHERE turn = 0)
+WITH i AS (SELECT conv_id * 1000 + turn AS input, CASE WHEN role = 'system' THEN NULL ELSE role || (conv_id // 3) END AS document_id, 'p' || (conv_id // 2) AS path FROM conversations)
 SELECT input, document_id, path FROM i QUALIFY row_number() OVER (PARTITION BY coalesce(document_id, 'path:' || path) ORDER BY input) = 1""")
 def unique_inputs(spark: SparkSession, d: str) -> DataFrame:
-    i = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("input"), F.when(F.col("role") != "system", F.concat("role", F.expr("conv_id div 3").cast("string"))).alias("document_id"), F.concat(F.lit("p"), F.expr("conv_id div 2").cast("string")).alias("path"))
+    i = table(spark, d, "conversations").select(F.expr("conv_id * 1000 + turn").alias("input"), F.when(F.col("role") != "system", F.concat("role", F.expr("conv_id div 3").cast("string"))).alias("document_id"), F.concat(F.lit("p"), F.expr("conv_id div 2").cast("string")).alias("path"))
     return merge.unique_inputs(i)
 
 
@@ -431,12 +438,12 @@ def alias_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R'),
+WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem),
 c AS (SELECT 'p' || p_partkey AS a, 'p' || (p_partkey + 1) AS b FROM part)
 SELECT DISTINCT c.a, c.b FROM c JOIN e x ON x.dst = c.a JOIN e y ON y.dst = c.b AND y.src = x.src""")
 def sibling_veto(spark: SparkSession, d: str) -> DataFrame:
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
-    e = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"), F.lit("SENT").alias("label"))
+    e = table(spark, d, "lineitem").select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"), F.lit("SENT").alias("label"))
     c = table(spark, d, "part").select(name("p", "p_partkey").alias("a"), name("p", F.col("p_partkey") + 1).alias("b"))
     return alias.siblings(Graph(c, e), c)
 
@@ -503,12 +510,12 @@ def chunk_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT doc_id, text, length(text) AS t, least(4, greatest(1, CAST(ceil(length(text) / 1000.0) AS INTEGER))) AS n FROM documents),
+WITH n AS (SELECT doc_id, text, length(text) AS t, greatest(1, CAST(ceil(length(text) / 1000.0) AS INTEGER)) AS n FROM documents),
 w AS (SELECT doc_id, text, CAST(unnest(range(n)) AS INTEGER) AS win, t, n FROM n),
 s AS (SELECT doc_id, text, win, CAST(CASE WHEN n = 1 THEN 0 ELSE (win * (t - 1000)) // (n - 1) END AS INTEGER) AS start FROM w)
 SELECT doc_id, win AS "window", start, substr(text, start + 1, 1000) AS text FROM s""")
 def text_windows(spark: SparkSession, d: str) -> DataFrame:
-    return chunk.windows(table(spark, d, "documents"), "doc_id", 1000, 4)
+    return chunk.windows(table(spark, d, "documents"), "doc_id", 1000)
 
 
 @query("""
@@ -634,13 +641,13 @@ def fill_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT conv_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS v FROM conversations WHERE turn = 1),
+WITH v AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS v FROM conversations WHERE turn <= 1),
 t AS (SELECT conv_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM conversations WHERE turn > 1),
-f AS (SELECT conv_id, v, coalesce(bool_or(contains(t, v)), false) AS ok FROM v LEFT JOIN t USING (conv_id) WHERE v <> '' GROUP BY ALL)
+f AS (SELECT conv_id, turn, v, coalesce(bool_or(contains(t, v)), false) AS ok FROM v LEFT JOIN t USING (conv_id) WHERE v <> '' GROUP BY ALL)
 SELECT conv_id, count(*) AS checked, count(*) FILTER (ok) AS found, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS share FROM f GROUP BY conv_id""")
 def grounding(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    return evaluate.grounding(c.filter("turn = 1").select("conv_id", F.col("text").alias("value")), c.filter("turn > 1"), ["conv_id"])
+    return evaluate.grounding(c.filter("turn <= 1").select("conv_id", F.col("text").alias("value")), c.filter("turn > 1"), ["conv_id"])
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS runs, avg(o_totalprice) AS mean_o_totalprice FROM orders GROUP BY 1, 2")
@@ -649,10 +656,10 @@ def cell_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT p_name AS path, count(*) AS n FROM part WHERE p_size < 20 GROUP BY 1), s AS (SELECT list(n ORDER BY n) AS a FROM c)
+WITH c AS (SELECT p_name AS path, count(*) AS n FROM part GROUP BY 1), s AS (SELECT list(n ORDER BY n) AS a FROM c)
 SELECT path, n, a[len(a) // 2 + 1] AS median FROM c, s WHERE n > 1.5 * a[len(a) // 2 + 1]""")
 def over_discovered(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.over_discovered(table(spark, d, "part").filter("p_size < 20").groupBy(F.col("p_name").alias("path")).agg(F.count("*").alias("n")), 1.5)
+    return evaluate.over_discovered(table(spark, d, "part").groupBy(F.col("p_name").alias("path")).agg(F.count("*").alias("n")), 1.5)
 
 
 # -- votes and merging across documents
@@ -738,13 +745,14 @@ def cypher_nodes(spark: SparkSession, d: str) -> DataFrame:
     return node_lines(n).select("line")
 
 
-@query("""
-SELECT 'MATCH (a:Customer {id: ''c' || c_custkey || '''}), (b:Nation {id: ''n' || c_nationkey || '''}) MERGE (a)-[:IN]->(b);' AS line FROM customer""")
+@query(_TRADE + """
+SELECT 'MATCH (a:' || a.class || ' {id: ''' || src || '''}), (b:' || b.class || ' {id: ''' || dst || '''}) MERGE (a)-[:' || label || ']->(b);' AS line
+FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst""")
 def cypher_edges(spark: SparkSession, d: str) -> DataFrame:
     from .sinks.cypher import edge_lines
 
     g = trade(spark, d)
-    return edge_lines(g.nodes, g.edges.filter("label = 'IN' and src like 'c%'")).select("line")
+    return edge_lines(g.nodes, g.edges).select("line")
 
 
 @query()
@@ -805,8 +813,8 @@ def conflict_variants(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT 's' || l_suppkey AS src, CASE WHEN l_partkey % 2 = 0 THEN 'q' || (l_partkey // 2) ELSE 'p' || l_partkey END AS dst, 'SENT_' || l_returnflag AS label FROM lineitem")
 def rekeyed_edges(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").filter("p_partkey % 2 = 0")
-    ids = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), F.concat(F.lit("q"), F.expr("p_partkey div 2").cast("string")).alias("new_id"))
+    old = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    ids = table(spark, d, "part").select(old.alias("node_id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("q"), F.expr("p_partkey div 2").cast("string"))).otherwise(old).alias("new_id"))
     return merge.rekey(halves(spark, d), ids).edges.select("src", "dst", "label").distinct()
 
 
@@ -913,7 +921,7 @@ def json_nodes(spark: SparkSession, d: str) -> DataFrame:
     return node_objects(Graph(n, n)).select(F.expr("bigint(substring(node_id, 2))").alias("c_custkey"), "json")
 
 
-@query("SELECT 'n' || n_nationkey AS id, 'Nation' AS label, n_name AS name FROM nation UNION ALL SELECT 'r' || r_regionkey, 'Region', r_name FROM region")
+@query("SELECT 'n' || n_nationkey AS id, 'Nation' AS label, n_name AS name FROM nation UNION ALL SELECT 'r' || r_regionkey, 'Region', r_name FROM region UNION ALL SELECT 's' || s_suppkey, 'Supplier', s_name FROM supplier")
 def csv_nodes(spark: SparkSession, d: str) -> DataFrame:
     from .sinks.files import wide_nodes
 

@@ -60,8 +60,8 @@ def follow(records: DataFrame, to_graph, path: str, checkpoint: str, once: bool
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def running_parents(events: DataFrame, key: str, ts: str, is_parent: str, late: str) -> DataFrame:
-    """(key, event_id, parent): for each event of a key, in the order in which they come, the last event before it that is a parent; the state holds one id a key and ends when the watermark passes it by the hour. events: (key, event_id, ts, and the boolean column is_parent)."""
+def running_parents(events: DataFrame, key: str, ts: str, is_parent: str, late: str, idle_ms: int = 3_600_000) -> DataFrame:
+    """(key, event_id, parent): for each event of a key, in the order in which they come, the last event up to it that is a parent; the state holds one id a key. A key that has no event until the watermark has gone on by idle_ms forgets its parent. events: (key, event_id, ts, and the boolean column is_parent)."""
     kind = dict(events.dtypes)[key]
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,6 +78,6 @@ def running_parents(events: DataFrame, key: str, ts: str, is_parent: str, late:
             yield pd.DataFrame({key: k[0], "event_id": pdf["event_id"].to_numpy(), "parent": pd.array(out, dtype="Int64")})
         state.update((last,))
         mark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(mark, 0) + 3_600_000)
+        state.setTimeoutTimestamp(max(mark, 0) + idle_ms)
 
     return events.withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, parent long", "last long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from conftest_shared import matches_oracle
-from graphloom import queries
+from graphloom import queries, relational_queries  # noqa: F401  registers more
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
