@@ -67,35 +67,33 @@ def test_near_duplicate_stage(kept):
     assert {r["doc_id"] for r in kept[3][2]} == {i for i in texts if root[i] == i}
 
 
-def test_mixing_stage(kept):
-    """Blocks are filled and scheduled one by one, until a source has none left."""
+def test_mixing_stage(spark, kept):
+    """Every document stays, and they come in the order of a schedule that fills and places blocks one by one."""
     import hashlib
 
-    from corpus_pipeline import BLOCK_BYTES, EXPONENT
+    import corpus_pipeline
 
     rows = kept[3][2]
+    assert sorted(r["doc_id"] for r in kept[4][2]) == sorted(r["doc_id"] for r in rows)
     size: dict[str, int] = {}
     for r in rows:
         size[r["source"]] = size.get(r["source"], 0) + len(r["text"].encode())
-    slots = mixing.apportion({s: float(b) ** EXPONENT for s, b in size.items()})
-    full = {s: b // BLOCK_BYTES for s, b in size.items()}
-    done = dict.fromkeys(slots, 0)
-    over, cycle = False, 0
-    while not over:
-        for s, _, _ in mixing.schedule(slots):
-            if done[s] == full[s]:
-                over = True
-                break
-            done[s] += 1
-        cycle += 1
-    want = set()
+    slots = mixing.apportion({s: float(b) ** corpus_pipeline.EXPONENT for s, b in size.items()})
+    cycle = [s for s, _, _ in sorted(mixing.schedule(slots), key=lambda x: x[2])]
+    places: dict[str, list[int]] = {s: [] for s in size}
+    at = 0
+    while any(len(places[s]) <= b // corpus_pipeline.BLOCK_BYTES for s, b in size.items()):
+        for s in cycle:
+            places[s].append(at)
+            at += 1
+    md5 = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    want = []
     for s in size:
-        at = 0
-        for r in sorted((r for r in rows if r["source"] == s), key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"])):
-            if at // BLOCK_BYTES < done[s]:
-                want.add(r["doc_id"])
-            at += len(r["text"].encode())
-    assert {r["doc_id"] for r in kept[4][2]} == want and len(want) > 0.5 * len(rows)
+        before = 0
+        for r in sorted((r for r in rows if r["source"] == s), key=lambda r: (md5(r["doc_id"]), r["doc_id"])):
+            want.append((places[s][before // corpus_pipeline.BLOCK_BYTES], md5(r["doc_id"]), r["doc_id"]))
+            before += len(r["text"].encode())
+    assert [r.doc_id for r in corpus_pipeline.mix(spark, kept[3][1], "").collect()] == [i for _, _, i in sorted(want)]
 
 
 def test_encoding_stage(kept):
