@@ -18,7 +18,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("source"), c.add_argument("template"), c.add_argument("output")
     c.add_argument("--order", required=True), c.add_argument("--export", action="append", default=[])
     m = sub.add_parser("merge", help="graphs to one, the first wins")
-    m.add_argument("inputs", nargs="+"), m.add_argument("--output", required=True), m.add_argument("--keep-all", action="store_true"), m.add_argument("--no-split", action="store_true")
+    m.add_argument("inputs", nargs="+"), m.add_argument("--output", required=True), m.add_argument("--precedence", default="input-order", choices=("input-order", "richest")), m.add_argument("--conflicts", default="keep-first", choices=("keep-first", "keep-all", "variants")), m.add_argument("--no-split", action="store_true")
     i = sub.add_parser("inspect", help="a report, or a page to look at")
     i.add_argument("path"), i.add_argument("--page")
     t = sub.add_parser("template").add_subparsers(dest="sub", required=True)
@@ -67,6 +67,7 @@ def main(argv: list[str] | None = None) -> int:
         made, found = merged_template(spark.read.json(a.fields), spark.read.json(a.classes), root=a.root)
         put(made.to_yaml(), a.output)
         return 0
+    from .operators.merge import Policy
     from .pipeline import Config, merge_runs, run
     from .sources.files import graph_json, graph_parquet
 
@@ -76,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(run(spark, Config(template, a.output, exports=tuple(a.export) or ("parquet",)), data, a.order).metadata, indent=2, default=str))
         return 0
     if a.command == "merge":
-        g, audit = merge_runs(spark, a.inputs, a.output, split=not a.no_split, keep_all=a.keep_all)
+        g, audit = merge_runs(spark, a.inputs, a.output, split=not a.no_split, policy=Policy(a.precedence, a.conflicts))
         print(json.dumps({"nodes": g.nodes.count(), "edges": g.edges.count()} | {k: v.count() for k, v in audit.items()}))
         return 0
     at = a.path if a.command == "inspect" else a.graph

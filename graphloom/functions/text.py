@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -20,13 +20,16 @@ _ASCII = r"^[\x00-\x7F]*$"
 _PAIR, _HAS = "\ue000", "\ue001"
 
 
+def _foldable() -> Iterator[str]:
+    """The characters beyond ASCII that have any decomposition, case or combining class, but for Hangul syllables, which stay."""
+    for a, b in ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000), (0x2F800, 0x2FA20)):  # between them are ideographs, surrogates and private characters
+        yield from map(chr, range(a, b))
+
+
 def _characters(of) -> tuple[str, str, dict[str, str]]:
     """What `of` changes among all characters beyond ASCII: pairs for translate, and those that become several."""
     one_from, one_to, more = [], [], {}
-    for code in range(0x80, sys.maxunicode + 1):
-        if 0xAC00 <= code < 0xE000:  # Hangul syllables and surrogates stay
-            continue
-        c = chr(code)
+    for c in _foldable():
         s = of(c)
         if len(s) == 1 and s != c:
             one_from.append(c), one_to.append(s)
@@ -107,17 +110,16 @@ def _name_folds() -> tuple[str, str, dict[str, str], str]:
 
 @lru_cache(1)
 def _marks() -> str:
-    return "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.combining(c))
+    return "".join(c for c in _foldable() if unicodedata.combining(c))
 
 
 @lru_cache(1)
 def _compositions() -> dict[str, str]:
     """A character and its marks, where together they are one character."""
     out = {}
-    for code in range(0x80, sys.maxunicode + 1):
-        c = chr(code)
+    for c in _foldable():
         parts = unicodedata.normalize("NFD", c)
-        if 1 < len(parts) < 5 and not 0xAC00 <= code < 0xD7B0 and unicodedata.normalize("NFKC", parts) == c:
+        if 1 < len(parts) < 5 and unicodedata.normalize("NFKC", parts) == c:
             out[parts] = c
     return out
 

@@ -37,6 +37,8 @@ def propose(g: Graph, identities: dict[str, list[str]]) -> DataFrame:
             shown = F.concat_ws(" / ", *(F.col("attrs")[f] for f in fields))
             one = g.nodes.filter(F.col("class") == cls).select("class", F.col("node_id").alias("id"), F.lower(text).alias("text"), shown.alias("shown"))
             parts = one if parts is None else parts.unionByName(one)
+    if parts is None:
+        return g.nodes.sparkSession.createDataFrame([], "class string, superset string, base string, similarity double")
     c = containment(parts.drop("shown"), ["class"])
     s = parts.select("id", "shown")
     return c.join(s.select(F.col("id").alias("superset"), F.col("shown").alias("a")), "superset").join(s.select(F.col("id").alias("base"), F.col("shown").alias("b")), "base").select("class", "superset", "base", fuzzy_similarity("a", "b").alias("similarity"))

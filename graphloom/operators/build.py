@@ -38,8 +38,8 @@ def _attrs(kind: T.StructType, value: Column, template: Template, model: str) ->
     return F.map_from_entries(F.filter(F.array(*parts), lambda e: e["value"].isNotNull())) if parts else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
 
 
-def _id(template: Template, place: Place, value: Column, kind: T.StructType) -> Column:
-    """Null where all identity fields are empty. A class without identity is identified by all its scalars."""
+def _id(template: Template, place: Place, value: Column, kind: T.StructType) -> tuple[Column, Column]:
+    """Whether any identity field is filled, and the id that holds then. A class without identity is identified by all its scalars. Rows are filtered by the former, as a filter on ids would make ids twice."""
     m = template.model(place.model)
     names = list(place.identity) or [f.name for f in m.fields if template.model(f.type) is None and not f.is_list]
     some = [F.trim(value[n].cast("string")) != "" for n in names]
@@ -47,7 +47,7 @@ def _id(template: Template, place: Place, value: Column, kind: T.StructType) ->
     for s in some:
         filled = filled | F.coalesce(s, F.lit(False))
     numbers = {n for n in names if isinstance(kind[n].dataType, T.IntegralType)}
-    return F.when(value.isNotNull() & filled, node_id(place.model, {n: value[n] for n in names}, numbers))
+    return value.isNotNull() & filled, node_id(place.model, {n: value[n] for n in names}, numbers)
 
 
 def build(df: DataFrame, template: Template, order: str, references: bool = True) -> Graph:
@@ -61,13 +61,13 @@ def build(df: DataFrame, template: Template, order: str, references: bool = True
     for number, p in enumerate(places.values()):
         at, keys = _reach(base, places, p)
         kind = at.schema["__v"].dataType
-        ident = _id(template, p, F.col("__v"), kind)
+        filled, ident = _id(template, p, F.col("__v"), kind)
         pos = F.struct(F.col("__rec").alias("rec"), F.lit(number).alias("place"), F.col("__ix").alias("ix"))
-        full = at.withColumn("__id", ident).filter("__id is not null")
+        full = at.filter(filled).withColumn("__id", ident)
         nodes.append(full.select(F.col("__id").alias("node_id"), F.lit(p.model).alias("class"), pos.alias("pos"), _attrs(kind, F.col("__v"), template, p.model).alias("attrs")))
         if p.parent is not None:
-            above = _id(template, places[p.parent], F.col("__p"), at.schema["__p"].dataType)
-            edges.append(full.withColumn("__src", above).filter("__src is not null").select(F.col("__src").alias("src"), F.col("__id").alias("dst"), F.lit(p.label).alias("label"), pos.alias("pos"), F.lit(p.closed_catalog).alias("closed")))
+            known, above = _id(template, places[p.parent], F.col("__p"), at.schema["__p"].dataType)
+            edges.append(at.filter(filled & known).withColumn("__id", ident).withColumn("__src", above).select(F.col("__src").alias("src"), F.col("__id").alias("dst"), F.lit(p.label).alias("label"), pos.alias("pos"), F.lit(p.closed_catalog).alias("closed")))
     out_nodes = nodes[0]
     for n in nodes[1:]:
         out_nodes = out_nodes.unionByName(n)

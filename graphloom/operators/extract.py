@@ -196,7 +196,7 @@ def fill_groups(instances: DataFrame, scope: list[str], size: int = PER_FILL) ->
 
     w = Window.partitionBy(*scope, "path").orderBy("pos")
     n = F.when(F.col("reference"), F.row_number().over(w) - 1).otherwise(((F.row_number().over(w) - 1) / size).cast("int"))
-    return instances.withColumn("fill", n).groupBy(*scope, "path", "fill").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "ids"))).alias("items"))
+    return instances.withColumn("fill", n).groupBy(*scope, "path", "fill").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "ids")), lambda a, b: a["pos"] - b["pos"]).alias("items"))
 
 
 def fill_context(groups: DataFrame, batch_texts: DataFrame, heads: DataFrame, key: str) -> DataFrame:

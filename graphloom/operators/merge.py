@@ -7,6 +7,8 @@ one aggregation by key, whatever the number of inputs.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,14 +21,43 @@ COMBINE = ("description", "summary")
 MAX_COMBINED = 4096
 
 
+@dataclass(frozen=True)
+class Policy:
+    """How graphs are merged.
+
+    precedence: which row of a node comes first: input-order, or richest, the one with the most filled attributes, of equal ones that which more chunks support (attribute __weight__), then that of the first input.
+    conflicts: keep-first; keep-all also keeps what is dropped under __conflicts__; variants makes nodes of it.
+    combine: attributes whose sentences are joined, up to limit characters.
+    """
+
+    precedence: str = "input-order"
+    conflicts: str = "keep-first"
+    combine: tuple[str, ...] = COMBINE
+    limit: int = MAX_COMBINED
+
+    def __post_init__(self) -> None:
+        if self.precedence not in ("input-order", "richest"):
+            raise ValueError(f"precedence {self.precedence}")
+        if self.conflicts not in ("keep-first", "keep-all", "variants"):
+            raise ValueError(f"conflicts {self.conflicts}")
+
+
+def rank(precedence: str) -> Column:
+    """Where a row of nodes (input, pos, attrs) stands among those of its node."""
+    if precedence == "input-order":
+        return F.struct("input", "pos")
+    weight = F.coalesce(F.col("attrs")["__weight__"].cast("long"), F.lit(0))
+    return F.struct((-F.size(content())).alias("poor"), (-weight).alias("light"), "input", "pos")
+
+
 def tagged(graphs: list[Graph]) -> Graph:
     """The union of graphs in their order, each row with its input's number."""
     nodes = edges = None
     for i, g in enumerate(graphs):
         n = g.nodes.select(F.lit(i).alias("input"), "node_id", "class", "pos", "attrs")
-        e = g.edges.select(F.lit(i).alias("input"), "src", "dst", "label", "pos")
+        e = g.edges.select(F.lit(i).alias("input"), "src", "dst", "label", "pos", *(["attrs"] if "attrs" in g.edges.columns else []))
         nodes = n if nodes is None else nodes.unionByName(n)
-        edges = e if edges is None else edges.unionByName(e)
+        edges = e if edges is None else edges.unionByName(e, allowMissingColumns=True)
     return Graph(nodes, edges)
 
 
@@ -36,16 +67,16 @@ def unique_inputs(inputs: DataFrame) -> DataFrame:
     return inputs.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def long_values(nodes: DataFrame) -> DataFrame:
-    """(node_id, input, pos, key, value) of the content attributes that aren't empty."""
-    return nodes.select("node_id", "input", "pos", F.explode(content()).alias("key", "value"))
+def long_values(nodes: DataFrame, precedence: str = "input-order") -> DataFrame:
+    """(node_id, place, key, value) of the content attributes that aren't empty."""
+    return nodes.select("node_id", rank(precedence).alias("place"), F.explode(content()).alias("key", "value"))
 
 
-def fold_values(values: DataFrame, combine: tuple[str, ...] = COMBINE, limit: int = MAX_COMBINED) -> DataFrame:
-    """(node_id, key, value, conflicts): the first value; later ones that aren't equivalent are conflicts in their order, but for combined keys, whose new sentences are appended, and JSON lists, whose new items are."""
+def fold_values(values: DataFrame, combine: tuple[str, ...] = COMBINE, limit: int = MAX_COMBINED, by: tuple[str, ...] = ("node_id",)) -> DataFrame:
+    """(by..., key, value, conflicts): the first value; later ones that aren't equivalent are conflicts in their order, but for combined keys, whose new sentences are appended, and JSON lists, whose new items are."""
     # a value that repeats counts where it stands first; what is listed is a node's different values of a key, not its rows
-    different = values.groupBy("node_id", "key", "value").agg(F.min(F.struct("input", "pos")).alias("place"))
-    rows = different.groupBy("node_id", "key").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("rows"))
+    different = values.groupBy(*by, "key", "value").agg(F.min("place").alias("place"))
+    rows = different.groupBy(*by, "key").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("rows"))
     first = F.col("rows")[0]["value"]
     rest = F.transform(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), lambda r: r["value"])
     texts = F.transform("rows", lambda r: r["value"])
@@ -53,33 +84,43 @@ def fold_values(values: DataFrame, combine: tuple[str, ...] = COMBINE, limit: in
     union = F.to_json(F.array_distinct(F.flatten(F.transform(texts, lambda v: F.from_json(v, "array<string>")))))
     combined = F.aggregate(rest, first, lambda acc, v: merge_sentences(acc, v, limit))
     unlike = F.array_distinct(F.filter(rest, lambda v: equivalence_key(v) != equivalence_key(first)))
-    kind = F.when(F.col("key").isin(*combine), "combine").when(is_list, "list").otherwise("first")
+    kind = F.when(F.col("key").isin(*combine), "combine").when(is_list, "list").otherwise("first") if combine else F.when(is_list, "list").otherwise("first")
     none = F.array().cast("array<string>")
-    return rows.select("node_id", "key", F.when(kind == "combine", combined).when(kind == "list", union).otherwise(first).alias("value"), F.when(kind == "first", unlike).otherwise(none).alias("conflicts"))
+    return rows.select(*by, "key", F.when(kind == "combine", combined).when(kind == "list", union).otherwise(first).alias("value"), F.when(kind == "first", unlike).otherwise(none).alias("conflicts"))
 
 
-def fold_nodes(nodes: DataFrame, combine: tuple[str, ...] = COMBINE, keep_all: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Folded nodes (node_id, class, pos, attrs), and conflicts (node_id, key, kept, dropped). keep_all: dropped values are also kept under __conflicts__."""
-    one = nodes.groupBy("node_id").agg(F.min_by("class", F.struct("input", "pos")).alias("class"), F.min(F.struct("input", "pos")).alias("pos"))
-    v = fold_values(long_values(nodes), combine)
+def fold_nodes(nodes: DataFrame, policy: Policy = Policy()) -> tuple[DataFrame, DataFrame]:
+    """Folded nodes (node_id, class, pos, attrs), and conflicts (node_id, key, kept, dropped)."""
+    place = rank(policy.precedence)
+    one = nodes.groupBy("node_id").agg(F.min_by("class", place).alias("class"), F.min_by(F.struct("input", "pos"), place).alias("pos"))
+    v = fold_values(long_values(nodes, policy.precedence), policy.combine, policy.limit)
     attrs = v.groupBy("node_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attrs"), F.array_sort(F.collect_list(F.when(F.size("conflicts") > 0, F.struct("key", "conflicts")))).alias("c"))
-    if keep_all:
+    if policy.conflicts == "keep-all":
         attrs = attrs.withColumn("attrs", F.when(F.size("c") > 0, F.map_concat("attrs", F.create_map(F.lit("__conflicts__"), F.to_json(F.map_from_entries("c"))))).otherwise(F.col("attrs")))
     conflicts = v.filter(F.size("conflicts") > 0).select("node_id", "key", F.col("value").alias("kept"), F.explode("conflicts").alias("dropped"))
     return one.join(attrs.drop("c"), "node_id", "left"), conflicts
 
 
 def fold_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One edge a pair with the first label; the others in also_labels, in order. Second: label conflicts (src, dst, kept, dropped)."""
+    """One edge a pair with the first label; the others in also_labels, in order. Second: label conflicts (src, dst, kept, dropped).
+
+    Edges with attributes (attrs) keep, of each, the first value among those of the label that stays; JSON lists are united; other values go without notice, as they identify nothing.
+    """
     different = edges.groupBy("src", "dst", "label").agg(F.min(F.struct("input", "pos")).alias("place"))
     e = different.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("rows"))
     labels = F.transform("rows", lambda r: r["label"])
     out = e.select("src", "dst", labels[0].alias("label"), F.col("rows")[0]["place"].alias("pos"), F.array_except(labels, F.array(labels[0])).alias("also_labels"))
-    return out, out.filter(F.size("also_labels") > 0).select("src", "dst", F.col("label").alias("kept"), F.explode("also_labels").alias("dropped"))
+    conflicts = out.filter(F.size("also_labels") > 0).select("src", "dst", F.col("label").alias("kept"), F.explode("also_labels").alias("dropped"))
+    if "attrs" in edges.columns:
+        by = ("src", "dst", "label")
+        long = edges.select(*by, F.struct("input", "pos").alias("place"), F.explode("attrs").alias("key", "value")).filter("value <> '' and value <> '[]' and value <> '{}'")
+        attrs = fold_values(long, (), by=by).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attrs"))
+        out = out.join(attrs, list(by), "left").withColumn("attrs", F.coalesce("attrs", F.create_map().cast("map<string,string>")))
+    return out, conflicts
 
 
-def fold(g: Graph, **options) -> tuple[Graph, DataFrame, DataFrame]:
-    nodes, conflicts = fold_nodes(g.nodes, **options)
+def fold(g: Graph, policy: Policy = Policy()) -> tuple[Graph, DataFrame, DataFrame]:
+    nodes, conflicts = fold_nodes(g.nodes, policy)
     edges, labels = fold_edges(g.edges)
     return Graph(nodes, edges), conflicts, labels
 
@@ -169,13 +210,25 @@ def skolemize_roots(g: Graph, documents: DataFrame, identities: dict[str, list[s
     return Graph(nodes, edges)
 
 
-def merge_graphs(graphs: list[Graph], documents: DataFrame | None = None, split: bool = True, **options) -> tuple[Graph, dict[str, DataFrame]]:
-    """The merged graph and its audit: conflicts, label_conflicts and splits. Deterministic, idempotent, in the order of the inputs."""
+def merge_graphs(graphs: list[Graph], documents: DataFrame | None = None, split: bool = True, policy: Policy = Policy(), identities: dict[str, list[str]] | None = None, aliases: DataFrame | None = None) -> tuple[Graph, dict[str, DataFrame]]:
+    """The merged graph and its audit: conflicts, label_conflicts, splits, and with aliases their outcomes. Deterministic, idempotent, in the order of the inputs.
+
+    documents: (input, document_id), with which split nodes are named; with a column stem and identities, by class, roots that only a file's name identifies are kept apart. aliases: confirmed pairs (a, b) of nodes that the merged graph proposes by containment; identities are needed for that too.
+    """
+    from . import alias
+
     g = tagged(graphs)
     audit: dict[str, DataFrame] = {}
+    if documents is not None and identities and "stem" in documents.columns:
+        g = skolemize_roots(g, documents, identities)
     if split:
         g, audit["splits"] = split_collisions(g, documents)
-    out, audit["conflicts"], audit["label_conflicts"] = fold(g, **options)
+    out, audit["conflicts"], audit["label_conflicts"] = fold(g, policy)
+    if aliases is not None and identities:
+        out, audit["aliases"] = alias.applied(out, alias.propose(out, identities), aliases)
+    if policy.conflicts == "variants":
+        v = conflict_variants(out.nodes, audit["conflicts"])
+        out = Graph(out.nodes.unionByName(v.nodes, allowMissingColumns=True), out.edges.unionByName(v.edges, allowMissingColumns=True))
     return out, audit
 
 
@@ -204,12 +257,20 @@ def deep_merge(a: dict, b: dict, identities: dict[str, list[str]] | None = None,
         elif k in describe and isinstance(old, str) and isinstance(v, str):
             if v.strip() not in old:
                 new = [s for s in re.split(r"(?<=[.!?])\s+", v.strip()) if s and s not in old]
-                out[k] = " ".join([old.strip(), *new])[:MAX_COMBINED]
+                out[k] = _whole_sentences(" ".join([old.strip(), *new]))
         else:
             out[k] = v
     return out
 
 
+def _whole_sentences(text: str, limit: int = MAX_COMBINED) -> str:
+    """text within the limit, cut where a sentence ends if one ends there at all."""
+    if len(text) <= limit:
+        return text
+    end = max(text.rfind(x, 0, limit) for x in ".!?")
+    return text[: end + 1] if end > 0 else text[:limit]
+
+
 def _merge_items(old: list, new: list, fields: list[str], identities, describe, fallback: float | None) -> list:
     import json
 

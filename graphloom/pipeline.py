@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import clean, extract, merge, stats
+from .operators import clean, dense, extract, merge, stats
 from .operators.build import Graph, build, with_reverse
 from .plans.template import Template
 from .sinks import cypher, files, report
@@ -58,25 +58,31 @@ class Result:
     metadata: dict[str, Any]
 
 
-def extracted(docs: DataFrame, key: str, config: Config, factory: extract.ClientFactory) -> DataFrame:
-    """Records by the configured mode. Of many_to_one each document goes whole, or in chunks whose records are merged, as the contract says for its length."""
+def extracted(docs: DataFrame, key: str, config: Config, factory: extract.ClientFactory) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Records by the configured mode, written, the ledger of where their instances come from, and the chunks if there are any. Of many_to_one each document goes whole (direct), or in two phases over its chunks (dense), as the contract says for its length."""
     t = config.template
     options = {"sparse_check": config.sparse_check, "gleaning": config.gleaning}
+    fields = lambda r: r.filter("record is not null").select(key, "record.*")
+    # written, so that a client is asked once for each text
     if config.mode == "one_to_one":
-        return extract.per_page(docs, key, t, factory, **options)
+        records = stats.written(extract.per_page(docs, key, t, factory, **options))
+        return records, dense.record_ledger(fields(records), key, t), None
     c = F.lit(config.contract) if config.contract != "auto" else extract.contract(F.length("text"), config.output_tokens, config.context_tokens)
     d = docs.withColumn("__c", c)
-    whole = extract.direct(d.filter("__c = 'direct'"), key, t, factory, **options)
-    from .operators.chunk import chunks
-
-    parts = chunks(d.filter("__c = 'dense'"), key, limit=config.chunk_tokens)
-    return whole.unionByName(extract.many_to_one(parts, key, "chunk_id", t, factory, **options))
+    whole = stats.written(extract.direct(d.filter("__c = 'direct'"), key, t, factory, **options))
+    long = d.filter("__c = 'dense'").drop("__c")
+    ledger = dense.record_ledger(fields(whole), key, t)
+    if config.contract == "direct" or long.isEmpty():
+        return whole, ledger, None
+    found = dense.dense(long, key, t, factory, config.chunk_tokens, max(dense.BATCH_TOKENS, config.chunk_tokens))
+    return stats.written(whole.unionByName(found.records)), ledger.unionByName(found.ledger), found.chunks
 
 
 def to_graph(records: DataFrame, config: Config, order: str) -> tuple[Graph, dict[str, DataFrame]]:
     """Build, reverse edges, cleaning, closed catalogs, cardinality bounds, in this order; and what each took away."""
     t = config.template
     g = build(records, t, order, config.references)
+    g = Graph(stats.written(g.nodes), stats.written(g.edges))  # what follows reads it many times
     if config.reverse_labels:
         g = with_reverse(g, config.reverse_labels)
     audit: dict[str, DataFrame] = {}
@@ -91,24 +97,31 @@ def to_graph(records: DataFrame, config: Config, order: str) -> tuple[Graph, dic
 def run(spark: SparkSession, config: Config, data: DataFrame, key: str, factory: extract.ClientFactory | None = None) -> Result:
     """data: nested records, or texts (key, text) that a client reads. key orders the records."""
     began, trace = time.time(), report.Trace()
+    ledger = chunks = None
     trace.emit("started", "extract", mode=config.mode)
     if config.mode == "records":
         records = data
     else:
         if factory is None:
             raise ValueError("texts need a client")
-        # written, so that a client is asked once for each text
-        records = stats.written(extracted(data, key, config, factory)).filter("record is not null").select(key, "record.*")
+        records, ledger, chunks = extracted(data, key, config, factory)
+        records = records.filter("record is not null").select(key, "record.*")
     trace.emit("started", "graph")
     g, audit = to_graph(records, config, key)
     g = Graph(stats.written(g.nodes), stats.written(g.edges))
     if config.validate:
         clean.validate(g)
+    if ledger is not None:
+        audit["ledger"] = stats.written(ledger)
+        audit["provenance"] = dense.node_sources(g.nodes, audit["ledger"], config.template)
     s = stats.summary(g).first()
     trace.emit("done", "graph", nodes=s.nodes, edges=s.edges)
     meta = {"schema_hash": config.template.schema_hash(), "nodes": s.nodes, "edges": s.edges, "average_degree": s.average_degree, "processing_time_seconds": time.time() - began}
     if config.output:
         export(g, config, meta, audit)
+        for name, df in (("ledger", audit.get("ledger")), ("provenance", audit.get("provenance")), ("chunks", chunks)):
+            if df is not None:
+                df.write.mode("overwrite").parquet(f"{config.output}/{name}")
         trace.emit("done", "export", exports=list(config.exports))
     meta["trace"] = trace.to_json()
     return Result(g, audit, meta)
@@ -139,7 +152,7 @@ def merge_runs(spark: SparkSession, paths: list[str], output: str | None = None,
     graphs = [graph_json(spark, p) if p.endswith(".json") else graph_parquet(spark, f"{p}/graph") for p in paths]
     hashes = set()
     for p in paths:
-        if not p.endswith(".json") and Path(f"{p}/metadata").exists():
+        if not p.endswith(".json") and files.exists(spark, f"{p}/metadata"):
             hashes.add(json.loads(spark.read.text(f"{p}/metadata").first().value)["schema_hash"])
     if strict and len(hashes) > 1:
         raise ValueError(f"{len(hashes)} different templates")

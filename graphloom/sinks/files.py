@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.build import Graph
@@ -91,3 +91,9 @@ def write_ledgers(ledger: DataFrame, path: str, key: str = "document_id") -> Dat
 def write_documents(docs: DataFrame, path: str, key: str, per_page: bool = False) -> None:
     """Texts of documents (key, text), or with per_page of pages (key, page_no, text), as JSON by document."""
     docs.select(key, *(["page_no"] if per_page else []), "text").write.mode("overwrite").json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at the path, in whatever file system it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

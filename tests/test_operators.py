@@ -403,3 +403,94 @@ def test_graph_analytics(spark):
     assert {(r.start, r.node_id, r.hops) for r in stats.reach(g.edges, g.nodes.filter("node_id = 'a'"), 1).collect()} == {("a", "a", 0), ("a", "b", 1)}
     path = graph(spark, [(x, "N", {}) for x in "abc"], [("a", "b", "L", False), ("b", "c", "L", False)])
     assert {r.node_id: r.betweenness for r in stats.betweenness(path).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0}
+
+
+def test_a_run_extracts_in_two_phases_and_says_where_nodes_come_from(spark, tmp_path):
+    from graphloom.extraction_queries import ORDER, Clerk
+    from graphloom.pipeline import Config, run
+
+    filler = " ".join(f"Word number {i} says nothing." for i in range(40))
+    long = f"This is order 1234 of status F. There is item aa11 flag R quantity 3 in it. {filler} There is item bb22 flag N quantity 5 in it."
+    docs = spark.createDataFrame([(1, long), (2, "This is order 1235 of status O."), (3, None)], "doc long, text string")
+    out = run(spark, Config(ORDER, str(tmp_path / "out"), "many_to_one", "dense", chunk_tokens=40), docs, "doc", Clerk)
+    nodes = {(r["class"], r.attrs.get("item") or r.attrs.get("number")): r for r in out.graph.nodes.collect()}
+    assert set(nodes) == {("Order", "1234"), ("Order", "1235"), ("Line", "aa11"), ("Line", "bb22")}
+    assert nodes["Line", "bb22"].attrs["quantity"] == "5" and nodes["Order", "1234"].attrs["status"] == "F"
+    assert {(r.src, r.dst) for r in out.graph.edges.collect()} == {(nodes["Order", "1234"].node_id, nodes["Line", x].node_id) for x in ("aa11", "bb22")}
+    p = {r.node_id: r for r in spark.read.parquet(str(tmp_path / "out/provenance")).collect()}
+    assert p[nodes["Line", "aa11"].node_id].kind == "verbatim" and p[nodes["Line", "aa11"].node_id].chunk_ids == [0]
+    last = spark.read.parquet(str(tmp_path / "out/chunks")).filter("doc = 1").count() - 1
+    assert last > 0 and p[nodes["Line", "bb22"].node_id].chunk_ids == [last]
+    assert p[nodes["Order", "1235"].node_id].document == 2
+
+
+def test_merge_policies(spark):
+    a = graph(spark, [("x", "P", {"role": "chief"}), ("y", "P", {"name": "one"})], [])
+    b = graph(spark, [("x", "P", {"role": "clerk", "city": "Rome"})], [])
+    attrs, _, _ = merged(spark, a, b, split=False, policy=merge.Policy("richest"))
+    assert attrs["x"] == {"role": "clerk", "city": "Rome"}
+    attrs, _, _ = merged(spark, a, b, split=False, policy=merge.Policy(conflicts="keep-all"))
+    assert json.loads(attrs["x"]["__conflicts__"]) == {"role": ["clerk"]}
+    attrs, g, _ = merged(spark, a, b, split=False, policy=merge.Policy(conflicts="variants"))
+    assert attrs["x"]["role"] == "chief" and [(r.src, r.label) for r in g.edges.collect()] == [("x", "HAS_CONFLICT_VARIANT")]
+    with pytest.raises(ValueError):
+        merge.Policy("other")
+
+
+def test_merge_applies_confirmed_aliases(spark):
+    a = graph(spark, [("a", "C", {"name": "acme"}), ("b", "C", {"name": "acme france", "city": "Paris"})], [])
+    attrs, _, audit = merged(spark, a, split=False, identities={"C": ["name"]}, aliases=spark.createDataFrame([("a", "b")], "a string, b string"))
+    assert set(attrs) == {"b"} and audit["aliases"].first().outcome == "merged"
+
+
+def test_edge_attributes_fold(spark):
+    e = spark.createDataFrame([(0, "a", "b", "L", 0, {"w": "", "t": '["x"]'}), (1, "a", "b", "L", 0, {"w": "2", "t": '["y","x"]'}), (1, "a", "b", "M", 1, {"w": "9", "z": "1"})], "input int, src string, dst string, label string, pos int, attrs map<string,string>")
+    r = merge.fold_edges(e)[0].first()
+    assert (r.label, r.also_labels, r.attrs["w"], json.loads(r.attrs["t"]), "z" in r.attrs) == ("L", ["M"], "2", ["x", "y"], False)
+    assert merge.deep_merge({"description": "A" * 4000 + "."}, {"description": "B" * 50 + ". " + "C" * 200 + "."})["description"].endswith("B.")
+
+
+def test_folds_beyond_the_first_plane(spark):
+    import unicodedata
+
+    for s in ("5㎏", "𝐀lpha", "été", "Ａｃｍｅ　№ ½", "ǅ ﬁ"):
+        want = "".join(c for c in unicodedata.normalize("NFKD", s).casefold() if c.isascii() and c.isalnum())
+        assert one(spark, text.fold_id, s) == want
+        assert one(spark, text.equivalence_key, s) == "".join(unicodedata.normalize("NFKC", s).casefold().split())
+    assert one(spark, text.equivalence_key, "é") != one(spark, text.equivalence_key, "e")
+    assert one(spark, text.fold_number, -12, "int") == "12"
+
+
+def test_range_and_time_joins_by_brute_force(spark):
+    import random
+
+    from graphloom.operators import relational
+
+    rng = random.Random(5)
+    points = [(i, rng.choice("ab"), rng.choice([None, rng.uniform(-20, 20), float(rng.randint(-9, 9))])) for i in range(60)]
+    spans = [(i, rng.choice("ab"), x, x + rng.choice([0.0, 3.0, 25.0, -1.0])) for i, x in enumerate(float(rng.randint(-15, 15)) for _ in range(40))]
+    p = spark.createDataFrame(points, "p int, k string, x double")
+    s = spark.createDataFrame(spans, "s int, k string, low double, high double")
+    want = {(i, j) for i, k, x in points for j, q, a, b in spans if k == q and x is not None and a <= x <= b}
+    for width in (1.0, 7.0, 100.0):
+        rows = [(r.p, r.s) for r in relational.range_join(p, "x", s, "low", "high", width, ["k"]).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    none = {r.p for r in relational.range_join(p, "x", s, "low", "high", 4.0, ["k"], "left_anti").collect()}
+    assert none == {i for i, _, _ in points} - {i for i, _ in want}
+    left = spark.createDataFrame([(1, 5), (1, 10), (2, 1), (1, 5)], "k int, t int")
+    right = spark.createDataFrame([(1, 4, "a"), (1, 5, "b"), (1, 5, "c"), (1, 11, "d"), (2, 2, "e")], "k int, t int, v string")
+    assert sorted(((r.k, r.t, r.v) for r in relational.asof_join(left, right, ["k"], "t", "v").collect()), key=str) == [(1, 10, "c"), (1, 5, "c"), (1, 5, "c"), (2, 1, None)]
+
+
+def test_tables_of_the_catalog(spark):
+    from graphloom.sources import tables
+
+    t = tables.save_table(spark.range(100).selectExpr("id", "id % 7 as seven", "if(id < 10, null, id) as some"), "graphloom_numbers", 4, ["id"])
+    assert t.count() == 100
+    got = {r.column: r for r in tables.statistics(spark, "graphloom_numbers", ["seven", "some"]).collect()}
+    assert got["some"].null_count == 10 and got["seven"].rows == 100 and abs(got["seven"].distinct_count - 7) <= 1
+    plan = t.join(spark.table("graphloom_numbers").withColumnRenamed("some", "b"), "id").hint("merge")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan or "Broadcast" in plan
+    spark.sql("DROP TABLE graphloom_numbers")
+    with pytest.raises(ValueError):
+        tables.read(spark, "other", "x")
