@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import BROADCAST_BYTES, importable, sized, staged
+from ._stage import BROADCAST_BYTES, importable, sized, split, staged
 from ._text import give_back, gram_sets, slices
 
 #: keys(sets) -> uint64 array of K keys, a row for each set.
@@ -227,7 +227,7 @@ def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs, block_g
     rooms = rooms.select("room", F.ceil(F.col("grams") / block_grams).cast("int").alias("blocks"))
     shared = opened.select("rep", "slot", "room").join(rooms, "room")
     seated = staged(shared.groupBy("rep").agg(F.collect_list(F.struct("room", "slot", "blocks")).alias("at")))  # of one id, K for each of its sets at most
-    some = reps.join(sized(seated.select("rep"), seated.count(), ROW_BYTES), "rep", "left_semi")
+    some = split(reps, F.col("rep"), seated.select("rep"), seated.count())[0]
     at = seated.join(some, "rep").select("rep", "one", "size", "keys", "bits", F.inline("at"))
     at = at.filter(F.xxhash64("slot", F.col("keys")[F.col("slot")]) == F.col("room"))  # where an id has several sets, each to its own rooms
     block = F.pmod(F.xxhash64("rep", "one"), F.col("blocks"))
@@ -286,7 +286,7 @@ def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs, block_g
     texts = own.select(F.col("doc_id").alias("rep"), "text")
     if taken * ROW_BYTES > BROADCAST_BYTES:  # then texts are joined by a shuffle, but no others than those
         who = staged(seats.select("rep").distinct())
-        texts = texts.join(sized(who, who.count(), ROW_BYTES), "rep", "left_semi")
+        texts = split(texts, F.col("rep"), who, who.count())[0]
     sent = texts.join(sized(going, taken, ROW_BYTES), "rep").unionByName(seats.drop("size"), allowMissingColumns=True)
     met = sent.repartition("room", "part").sortWithinPartitions("room", "part", "slot", F.col("text").isNotNull()).mapInArrow(meet, "rep long, root long, links long")
     return staged(met), members

@@ -5,13 +5,21 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._text import mix
+
 #: Tables of at most so many bytes are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Bits of a Bloom filter at most, 32 MB, whatever the number of keys. With more keys than a tenth of it more rows pass it, and the join behind it has more to do.
+BLOOM_BITS = 1 << 28
 
 
 def importable(spark: SparkSession) -> None:
@@ -23,12 +31,14 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it. Only where that is unset, as in tests, a folder of this machine."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. Where that is unset a folder of this machine will do in local mode alone, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         if given.isDefined():
             at = given.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
             spark.sparkContext.setCheckpointDir(at)
@@ -65,6 +75,55 @@ def sized(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES
     return F.broadcast(df) if rows * row_bytes <= limit else df.hint("merge")
 
 
+def split(df: DataFrame, key: Column, found: DataFrame, number: int, limit: int = BROADCAST_BYTES, bits: int = BLOOM_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key, a long, is in the one column of found, and all others, those of a null key among them. number: of found's rows, which are distinct.
+
+    found is broadcast if it is within the limit. Else a Bloom filter of it is, of a fixed size at most, and only rows that pass that are shuffled, to be joined with found.
+    """
+    name = fresh(df, "__key")
+    d, f = df.withColumn(name, key), found.toDF(name)
+    if number * 16 <= limit:
+        return d.join(F.broadcast(f), name, "left_semi").drop(name), d.join(F.broadcast(f), name, "left_anti").drop(name)
+    maybe = fresh(d, "__maybe")
+    passes = _bloom(f, number, bits)
+    d = d.withColumn(maybe, F.coalesce(passes(F.col(name)), F.lit(False)))
+    near = d.filter(F.col(maybe))
+    inside, apart = (near.join(f.hint("merge"), name, how).drop(name, maybe) for how in ("left_semi", "left_anti"))
+    return inside, d.filter(~F.col(maybe)).drop(name, maybe).unionByName(apart)
+
+
+def _bloom(keys: DataFrame, number: int, bits: int):
+    """A function that says of a column of longs which may be among keys."""
+    size = min(bits, 1 << max(12, math.ceil(math.log2(max(1, number) * 10))))
+
+    def places(x: np.ndarray) -> list[np.ndarray]:
+        h = mix(x.astype(np.int64).view(np.uint64))
+        return [(mix(h + np.uint64(k)) & np.uint64(size - 1)).astype(np.int64) for k in range(3)]
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate(places(b.column(0).to_numpy())))
+            word, begin = np.unique(at >> 6, return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), begin) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    importable(keys.sparkSession)
+    table = keys.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # a row for each word of the filter at most
+    packed = np.zeros(size >> 6, np.int64)
+    packed[table["word"].to_numpy()] = table["mask"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(packed)
+
+    @F.pandas_udf("boolean")
+    def passes(s: pd.Series) -> pd.Series:
+        known = s.notna().to_numpy()
+        x = s.fillna(0).to_numpy(dtype=np.int64)
+        for at in places(x):
+            known &= (shared.value[at >> 6] >> (at & 63)) & 1 > 0
+        return pd.Series(known)
+
+    return passes
+
+
 def shuffle_parts(spark: SparkSession, total_bytes: float, each: int = 32 << 20) -> int:
     """So many partitions that one has about each bytes, and no fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_bytes / each))

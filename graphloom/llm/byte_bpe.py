@@ -238,14 +238,17 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, cac
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean")
 
 
+_UNKNOWN = "\ufffd".encode()
+
+
 def decoded(tokens: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, text) from (doc_id, token_ids). Bytes that aren't UTF-8 become U+FFFD; null ids give a null text."""
+    """(doc_id, text) from (doc_id, token_ids). Bytes that aren't UTF-8 become U+FFFD, and so do a null among the ids and an id that the vocabulary lacks; a null list gives a null text, an empty one ''."""
     importable(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = held(path, pattern)
+        known = held(path, pattern).bytes_of
         for b in batches:
-            texts = [None if ids is None else b"".join([bpe.bytes_of[i] for i in ids]).decode("utf-8", "replace") for ids in b["token_ids"].to_pylist()]
+            texts = [None if ids is None else b"".join([known.get(i, _UNKNOWN) for i in ids]).decode("utf-8", "replace") for ids in b["token_ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return tokens.select(F.col("doc_id").cast("long"), "token_ids").mapInArrow(run, "doc_id long, text string")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golomb
-from ._stage import fresh, importable, sized, staged
+from ._stage import BROADCAST_BYTES, fresh, importable, split, staged
 
 SPARE_BITS = 10
 #: Fingerprints that one owner is to receive at most, about.
@@ -86,20 +86,15 @@ def suspects(docs: DataFrame, spare_bits: int = SPARE_BITS) -> tuple[DataFrame,
     return found, bits, found.count()
 
 
-def _verified(docs: DataFrame, found: DataFrame, bits: int, number: int) -> tuple[DataFrame, str]:
-    """Rows of docs with a suspect's fingerprint, and the name of a column with another hash of their texts."""
-    fp, h = fresh(docs, "__fp"), fresh(docs, "__h")
-    return docs.withColumn(fp, fingerprint(bits)).join(sized(found.withColumnRenamed("fp", fp), number, 16), fp, "left_semi").withColumn(h, F.xxhash64("text")), h
-
-
-def duplicates(docs: DataFrame, spare_bits: int = SPARE_BITS) -> DataFrame:
+def duplicates(docs: DataFrame, spare_bits: int = SPARE_BITS, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, keep_id) for each document whose text another of a lower id has, byte for byte; keep_id is the lowest id of its copies.
 
     Rows with a null doc_id or text are in no pair. The empty text is a text like any other. Repeated rows of one doc_id are one document and no pair.
     """
     own = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
     found, bits, number = suspects(own, spare_bits)
-    rows, h = _verified(own, found, bits, number)
+    h = "hash"
+    rows = split(own, fingerprint(bits), found, number, limit)[0].withColumn(h, F.xxhash64("text"))
     # equal bytes meet here, one text for each task that has it; where all texts of a hash are one, ids find their group by the hash alone
     groups = rows.groupBy(h, "text").agg(F.min("doc_id").alias("keep_id"))
     texts = groups.groupBy(h).agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"))
@@ -110,17 +105,15 @@ def duplicates(docs: DataFrame, spare_bits: int = SPARE_BITS) -> DataFrame:
     return pairs.filter("doc_id > keep_id").distinct()
 
 
-def without_duplicates(docs: DataFrame, spare_bits: int = SPARE_BITS) -> DataFrame:
+def without_duplicates(docs: DataFrame, spare_bits: int = SPARE_BITS, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs with one row for each distinct text: that of the lowest doc_id, null ids last, and of those of one id the least by its other columns. Rows without text all stay. The columns stay as they are."""
     found, bits, number = suspects(docs, spare_bits)
-    fp, row = fresh(docs, "__fp"), fresh(docs, "__row")
-    few = sized(found.withColumnRenamed("fp", fp), number, 16)
-    rest = docs.withColumn(fp, fingerprint(bits)).join(few, fp, "left_anti").drop(fp)
+    h, row = fresh(docs, "__h"), fresh(docs, "__row")
+    rows, rest = split(docs.filter(F.col("text").isNotNull()), fingerprint(bits), found, number, limit)
     clean = docs.filter(F.col("text").isNull())
     others = [c for c in docs.columns if c != "text"]
     value = F.struct(*(F.col(f"`{c}`") for c in others))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.to_json(value))
-    rows, h = _verified(docs.filter(F.col("text").isNotNull()), found, bits, number)
-    one = rows.groupBy(h, "text").agg(F.min_by(value, order).alias(row))
+    one = rows.withColumn(h, F.xxhash64("text")).groupBy(h, "text").agg(F.min_by(value, order).alias(row))
     one = one.select(*(F.col("text") if c == "text" else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns))
-    return rest.filter(F.col("text").isNotNull()).unionByName(one).unionByName(clean)
+    return rest.unionByName(one).unionByName(clean)

@@ -190,7 +190,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, **options) -> Model:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, predicted, confidence, rejected) for every row; lang is the row's label. A text without letters and a null text have no prediction, confidence 0, and are rejected. Rows without doc_id and repeated rows stay."""
+    """(doc_id, lang, predicted, confidence, rejected) for every row; lang is the row's label. A text without letters and a null text have no prediction, confidence 0, and are rejected. Of labels that are equally likely the first by name is predicted. Rows without doc_id and repeated rows stay."""
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,3 +95,15 @@ def subwords(text: str) -> list[bytes]:
         for n in (2, 3, 4):
             out += [x[i : i + n] for i in range(len(x) - n + 1)]
     return out
+
+
+def differencing(sizes: list[int], k: int) -> list[int]:
+    """The loads of k shards, the largest first, by Karmarkar-Karp over plain lists."""
+    parts = [[s] + [0] * (k - 1) for s in sizes]
+    live = list(range(len(parts)))
+    while len(live) > 1:
+        live.sort(key=lambda i: (parts[i][-1] - parts[i][0], i))
+        a, b = live.pop(0), live.pop(0)
+        parts.append(sorted((x + y for x, y in zip(parts[a], reversed(parts[b]))), reverse=True))
+        live.append(len(parts) - 1)
+    return parts[live[0]] if live else [0] * k

@@ -6,13 +6,14 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import brute
 from conftest_shared import matches_oracle
 from graphloom.llm import byte_bpe, exact_dedup, language_id, license_scan, minhash, mixing, ngram_join, queries, sharding, substring_dedup, token_counts
 from graphloom.llm._rooms import components, groups, similar
 from graphloom.llm._signatures import banded
-from graphloom.llm._stage import sized, staged
+from graphloom.llm._stage import sized, split, staged
 
 
 @pytest.fixture(scope="module")
@@ -167,8 +168,31 @@ def test_sharding(docs, texts, fan):
     largest = max(len(t.encode()) * sum(x == t for x in texts.values()) for t in texts.values())
     # differencing leaves a spread of one group at most, and far less where a cell has many groups to combine
     assert max(load) - min(load) <= largest
-    if fan > len(texts):
-        assert max(load) <= 1.02 * sum(load) / 5
+    if fan > len(texts):  # one cell, so it is differencing of all groups
+        sizes = sorted((len(t.encode()) * sum(x == t for x in texts.values()) for t in set(texts.values())), reverse=True)
+        assert sorted(load, reverse=True) == brute.differencing(sizes, 5)
+
+
+def test_rows_are_split_by_a_filter_of_keys(spark):
+    df = spark.createDataFrame([(i if i % 7 else None, f"r{i}", 1, True) for i in range(500)], "id long, x string, __key int, __maybe boolean")
+    found = spark.range(0, 500, 3).toDF("k")
+    for limit, bits in ((1 << 20, 1 << 28), (0, 1 << 28), (0, 1 << 12), (0, 1 << 6)):
+        inside, apart = split(df, F.col("id"), found, 167, limit, max(bits, 64))
+        assert inside.columns == apart.columns == df.columns
+        assert sorted(r.x for r in inside.collect()) == sorted(f"r{i}" for i in range(500) if i % 7 and i % 3 == 0)
+        assert sorted(r.x for r in apart.collect()) == sorted(f"r{i}" for i in range(500) if not (i % 7 and i % 3 == 0))
+
+
+def test_exact_dedup_beyond_the_broadcast(docs):
+    assert {tuple(r) for r in exact_dedup.duplicates(docs, limit=0).collect()} == {tuple(r) for r in exact_dedup.duplicates(docs).collect()}
+    key = lambda r: (r.doc_id, r.text)
+    assert sorted(exact_dedup.without_duplicates(docs, limit=0).collect(), key=key) == sorted(exact_dedup.without_duplicates(docs).collect(), key=key)
+
+
+def test_decoding_of_odd_lists(spark):
+    a = byte_bpe.held().ranks[b"a"]
+    t = spark.createDataFrame([(1, [a, None, a]), (2, []), (3, None), (None, [a, 10**8])], "doc_id long, token_ids array<int>")
+    assert {r.doc_id: r.text for r in byte_bpe.decoded(t).collect()} == {1: "a\ufffda", 2: "", 3: None, None: "a\ufffd"}
 
 
 def test_components_of_chains_and_rings(spark):
