@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._stage import fresh
+from ._stage import fresh, sized, staged
 
 BLOCK_BYTES = 1 << 16
 PERIOD = 1000
@@ -158,6 +158,6 @@ def to_weights(docs: DataFrame, weights: dict[str, float], block_bytes: int = BL
 def scheduled(docs: DataFrame, weights: dict[str, float], block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
     """All rows of docs in the order of the schedule: as long as sources last, every beginning of it is in proportion to the weights. Columns stay. A source that ends, however small, takes no other source's documents along. Rows without doc_id or of sources without weight come last."""
     doc, slot = fresh(docs, "__doc"), fresh(docs, "__slot")
-    slots = mixed(docs, weights, block_bytes, period).select(F.col("doc_id").alias(doc), F.col("slot").alias(slot))
-    d = docs.join(slots, docs["doc_id"].cast("long") == F.col(doc), "left")
+    slots = staged(mixed(docs, weights, block_bytes, period).select(F.col("doc_id").alias(doc), F.col("slot").alias(slot)))
+    d = docs.join(sized(slots, slots.count(), 40), docs["doc_id"].cast("long") == F.col(doc), "left")
     return d.orderBy(F.col(slot).asc_nulls_last(), F.md5(F.col("doc_id").cast("string"))).select(*(docs[f"`{c}`"] for c in docs.columns))
