@@ -32,6 +32,11 @@ def fingerprint(bits: int, text: str = "text") -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(text)), 64 - bits)
 
 
+def text_hash() -> Column:
+    """By which suspects are brought together for the comparison of their bytes."""
+    return F.xxhash64("text")
+
+
 def suspects(docs: DataFrame, spare_bits: int = SPARE_BITS) -> tuple[DataFrame, int, int]:
     """The fingerprints (column fp) that more than one row of docs may have, their bits, and their number. Null texts have none."""
     spark = docs.sparkSession
@@ -94,14 +99,15 @@ def duplicates(docs: DataFrame, spare_bits: int = SPARE_BITS, limit: int = BROAD
     own = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
     found, bits, number = suspects(own, spare_bits)
     h = "hash"
-    rows = split(own, fingerprint(bits), found, number, limit)[0].withColumn(h, F.xxhash64("text"))
+    rows = split(own, fingerprint(bits), found, number, limit)[0].withColumn(h, text_hash())
     # equal bytes meet here, one text for each task that has it; where all texts of a hash are one, ids find their group by the hash alone
     groups = rows.groupBy(h, "text").agg(F.min("doc_id").alias("keep_id"))
-    texts = groups.groupBy(h).agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"))
-    by_hash = rows.select("doc_id", h).join(texts.filter("texts = 1").select(h, "keep_id"), h)
-    several = texts.filter("texts > 1").select(h)
-    by_text = rows.join(several, h, "left_semi").join(groups.join(several, h, "left_semi"), [h, "text"])
-    pairs = by_hash.select("doc_id", "keep_id").unionByName(by_text.select("doc_id", "keep_id"))
+    texts = staged(groups.select(h, "keep_id")).groupBy(h).agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"))
+    pairs = rows.select("doc_id", h).join(texts.filter("texts = 1").select(h, "keep_id"), h).select("doc_id", "keep_id")
+    several = staged(texts.filter("texts > 1").select(h))
+    if not several.isEmpty():
+        both = rows.join(several, h, "left_semi")
+        pairs = pairs.unionByName(both.join(both.groupBy(h, "text").agg(F.min("doc_id").alias("keep_id")), [h, "text"]).select("doc_id", "keep_id"))
     return pairs.filter("doc_id > keep_id").distinct()
 
 
@@ -114,6 +120,6 @@ def without_duplicates(docs: DataFrame, spare_bits: int = SPARE_BITS, limit: int
     others = [c for c in docs.columns if c != "text"]
     value = F.struct(*(F.col(f"`{c}`") for c in others))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.to_json(value))
-    one = rows.withColumn(h, F.xxhash64("text")).groupBy(h, "text").agg(F.min_by(value, order).alias(row))
+    one = rows.withColumn(h, text_hash()).groupBy(h, "text").agg(F.min_by(value, order).alias(row))
     one = one.select(*(F.col("text") if c == "text" else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns))
     return rest.unionByName(one).unionByName(clean)

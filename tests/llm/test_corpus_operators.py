@@ -31,7 +31,7 @@ def test_sql_agrees(spark, small, name):
     matches_oracle(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], small)
 
 
-def test_exact_dedup(docs, texts):
+def test_exact_dedup(docs, texts, monkeypatch):
     first: dict[str, int] = {}
     for i in sorted(texts):
         first.setdefault(texts[i], i)
@@ -39,6 +39,8 @@ def test_exact_dedup(docs, texts):
     assert {tuple(r) for r in exact_dedup.duplicates(docs).collect()} == want and want
     # with hardly any bits fingerprints collide, and bytes decide
     assert {tuple(r) for r in exact_dedup.duplicates(docs, -6).collect()} == want
+    monkeypatch.setattr(exact_dedup, "text_hash", lambda: F.pmod(F.xxhash64("text"), F.lit(5)))
+    assert {tuple(r) for r in exact_dedup.duplicates(docs).collect()} == want
     assert {r.doc_id for r in exact_dedup.without_duplicates(docs).collect()} == set(first.values())
 
 
