@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from conftest_shared import matches_oracle
-from graphloom import extraction_queries, queries, relational_queries  # noqa: F401  register more
+from graphloom import extraction_queries, function_queries, queries, relational_queries  # noqa: F401  register more
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
