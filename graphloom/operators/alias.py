@@ -9,20 +9,34 @@ from pyspark.sql.window import Window
 from ..functions.text import digit_signature, fuzzy_similarity
 from .build import Graph
 from .clean import content
+from .stats import written
 
 MIN_LENGTH = 4
 
 
-def containment(texts: DataFrame, group: list[str]) -> DataFrame:
-    """(group..., superset, base): in each group the texts that contain exactly one other of at least four characters with the same runs of digits. texts: (group..., id, text), text folded.
+def contained(inner: DataFrame, outer: DataFrame, on: list[str]) -> DataFrame:
+    """(on..., inner, outer): ids of texts of which the one is a substring of the other, equal ones too. inner and outer: (on..., id, text); empty and null texts are in none.
 
-    Equal digit runs and group are a key of the join; of what is left a substring of MIN_LENGTH that both share is another, so no pair is compared that has none: a base's first MIN_LENGTH characters are looked up among all of the superset's.
+    An equality join: outer texts are looked up by their substrings of up to MIN_LENGTH characters, an inner one by that of its own substrings which the fewest outer texts have, so no common one brings all pairs.
     """
+    grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring("text", i, n)))
+    every = F.flatten(F.array(*(F.when(F.length("text") >= n, grams(F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(1, MIN_LENGTH + 1))))
+    o = outer.filter("text <> ''").select(*on, F.col("id").alias("outer"), F.col("text").alias("whole"), F.explode(every).alias("gram"))
+    many = o.groupBy(*on, "gram").agg(F.count("*").alias("many"))
+    own = inner.filter("text <> ''").select(*on, F.col("id").alias("inner"), F.col("text").alias("part"), F.explode(grams(F.least(F.length("text"), F.lit(MIN_LENGTH)))).alias("gram"))
+    # a substring that no outer text has rules the inner text out
+    found = own.join(many, [*on, "gram"], "left").groupBy(*on, "inner", "part").agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "gram")).alias("least")).filter("least.many > 0")
+    rare = found.select(*on, "inner", "part", F.col("least.gram").alias("gram"))
+    return o.join(rare, [*on, "gram"]).filter(F.contains(F.col("whole"), F.col("part"))).select(*on, "inner", "outer")
+
+
+def containment(texts: DataFrame, group: list[str]) -> DataFrame:
+    """(group..., superset, base): in each group the texts that contain exactly one other, shorter one of at least four characters with the same runs of digits. texts: (group..., id, text), text folded."""
     t = texts.filter(F.length("text") >= MIN_LENGTH).select(*group, "id", "text", F.array_join(digit_signature("text"), ",").alias("digits"))
-    base = t.select(*group, "digits", F.col("id").alias("base"), F.col("text").alias("bt"), F.substring("text", 1, MIN_LENGTH).alias("gram"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - MIN_LENGTH + 1), lambda i: F.substring("text", i, F.lit(MIN_LENGTH))))
-    sup = t.select(*group, "digits", F.col("id").alias("superset"), F.col("text").alias("st"), F.explode(grams).alias("gram"))
-    pair = sup.join(base, [*group, "digits", "gram"]).filter((F.length("bt") < F.length("st")) & F.contains(F.col("st"), F.col("bt")) & (F.col("superset") != F.col("base")))
+    size = t.select(*group, "id", F.length("text").alias("n")).distinct()
+    pair = contained(t, t, [*group, "digits"]).filter("inner <> outer").select(*group, F.col("outer").alias("superset"), F.col("inner").alias("base")).distinct()
+    # of equal length are equal texts only
+    pair = pair.join(size.withColumnsRenamed({"id": "superset", "n": "a"}), [*group, "superset"]).join(size.withColumnsRenamed({"id": "base", "n": "b"}), [*group, "base"]).filter("b < a")
     return pair.select(*group, "superset", "base").distinct().withColumn("n", F.count("*").over(Window.partitionBy(*group, "superset"))).filter("n = 1").drop("n")
 
 
@@ -39,7 +53,8 @@ def propose(g: Graph, identities: dict[str, list[str]]) -> DataFrame:
             parts = one if parts is None else parts.unionByName(one)
     if parts is None:
         return g.nodes.sparkSession.createDataFrame([], "class string, superset string, base string, similarity double")
-    c = containment(parts.drop("shown"), ["class"])
+    parts = written(parts)  # read several times
+    c = written(containment(parts.drop("shown"), ["class"]))
     s = parts.select("id", "shown")
     return c.join(s.select(F.col("id").alias("superset"), F.col("shown").alias("a")), "superset").join(s.select(F.col("id").alias("base"), F.col("shown").alias("b")), "base").select("class", "superset", "base", fuzzy_similarity("a", "b").alias("similarity"))
 

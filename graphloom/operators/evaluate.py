@@ -44,23 +44,29 @@ def edge_prf(truth: DataFrame, got: DataFrame, aliases: DataFrame | None = None)
 
 
 def relaxed_pairs(truth: DataFrame, got: DataFrame) -> DataFrame:
-    """(class, truth_key, key): of what isn't equal, pairs of which one folded text contains the other, with the same runs of digits, each key in one pair at most: greedily by class in the order of the keys. truth and got: (class, key, text)."""
+    """(class, truth_key, key): of what isn't equal, pairs of which one folded text contains the other, with the same runs of digits, each key in one pair at most: greedily by class in the order of the truth's keys, where exactly one is left that fits. truth and got: (class, key, text).
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    Who contains whom is found by joins; only the pairs that fit go to a class's task.
+    """
+    from .alias import contained
+    from .stats import written
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         taken: set[str] = set()
         out = []
-        rest = sorted(zip(b["key"], b["x"], b["d"]))
-        for k, x, d in sorted(zip(a["key"], a["x"], a["d"])):
-            fits = [g for g, y, e in rest if g not in taken and d == e and x and y and (x in y or y in x)]
-            if len(fits) == 1:
-                taken.add(fits[0])
-                out.append((a["class"].iloc[0], k, fits[0]))
+        for k, fits in pdf.sort_values(["truth_key", "key"]).groupby("truth_key", sort=True)["key"]:
+            free = [g for g in fits if g not in taken]
+            if len(free) == 1:
+                taken.add(free[0])
+                out.append((pdf["class"].iloc[0], k, free[0]))
         return pd.DataFrame(out, columns=["class", "truth_key", "key"])
 
-    shape = lambda d: d.select("class", "key", fold_id("text").alias("x"), F.array_join(digit_signature("text"), ",").alias("d"))
-    a = shape(truth.join(got.select("class", "key"), ["class", "key"], "left_anti"))
-    b = shape(got.join(truth.select("class", "key"), ["class", "key"], "left_anti"))
-    return a.groupBy("class").cogroup(b.groupBy("class")).applyInPandas(lambda x, y: run(x, y) if len(x) and len(y) else pd.DataFrame(columns=["class", "truth_key", "key"]), "class string, truth_key string, key string")
+    shape = lambda d: d.select("class", F.col("key").alias("id"), fold_id("text").alias("text"), F.array_join(digit_signature("text"), ",").alias("d"))
+    a = written(shape(truth.join(got.select("class", "key"), ["class", "key"], "left_anti")))
+    b = written(shape(got.join(truth.select("class", "key"), ["class", "key"], "left_anti")))
+    inside = contained(a, b, ["class", "d"]).select("class", F.col("inner").alias("truth_key"), F.col("outer").alias("key"))
+    around = contained(b, a, ["class", "d"]).select("class", F.col("outer").alias("truth_key"), F.col("inner").alias("key"))
+    return inside.unionByName(around).distinct().groupBy("class").applyInPandas(greedy, "class string, truth_key string, key string")
 
 
 def similarity(a: dict, b: dict) -> float:
