@@ -124,9 +124,13 @@ def fit(texts: list[str], labels: list[str], buckets: int = BUCKETS, dim: int =
     if not names:
         return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
-    ids, at = subwords(pa.array(texts, pa.string()), buckets)
     y = np.array([names.index(x) for x in labels])
-    docs = [np.unique(ids[a:b], return_counts=True) for a, b in zip(at[:-1], at[1:])]
+    docs = []
+    # a slice of the sample at a time, as its subwords take many times its bytes
+    for b in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])):
+        ids, at = subwords(b["text"], buckets)
+        docs += [np.unique(ids[i:j], return_counts=True) for i, j in zip(at[:-1], at[1:])]
+    give_back()
     usable = np.array([i for i, d in enumerate(docs) if len(d[0])], np.int64)
     held = usable[3::4]
     train = np.setdiff1d(usable, held)
