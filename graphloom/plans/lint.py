@@ -144,6 +144,39 @@ def references(t: Template) -> tuple[Template, list[Finding]]:
     return _fields(t, change), out
 
 
+def closed_homes(t: Template) -> tuple[Template, list[Finding]]:
+    """A closed catalog's members have a home: an edge to their class that isn't a reference, or the class is the root."""
+    homes = {f.type for m in t.models for f in m.fields if not f.reference} | {t.root}
+    bad = {(m.name, f.name): f.type for m in t.models for f in m.fields if f.closed_catalog and f.type not in homes}
+    return _fields(t, lambda m, f: replace(f, closed_catalog=False) if (m.name, f.name) in bad else f), [Finding("closed_catalog", f"{a}.{b}", f"{c} has no other home, so it can't be closed", True) for (a, b), c in bad.items()]
+
+
+def sentence_order(t: Template) -> tuple[Template, list[Finding]]:
+    """In descriptions too long to be read whole what a class is comes first, then what it isn't, then how many there are."""
+    out = []
+
+    def kind(s: str) -> int:
+        if re.search(r"(?i)\bnot\b|n't\b|\bn['’]est\b", s):
+            return 1
+        return 2 if re.search(r"(?i)\d|\bat most\b|\bmaximum\b|\bup to\b", s) else 0
+
+    def ordered(m: Model) -> Model:
+        whole = " ".join(m.description.split())
+        if len(whole) <= DOC_BUDGET:
+            return m
+        new = " ".join(sorted(re.split(r"(?<=[.!?]) ", whole), key=kind))
+        if new != whole:
+            out.append(Finding("sentence_order", m.name, "sentences put in order, as the last ones aren't read", True))
+        return replace(m, description=new) if new != whole else m
+
+    return replace(t, models=tuple(ordered(m) for m in t.models)), out
+
+
+def evidence(t: Template) -> tuple[Template, list[Finding]]:
+    """Fields that were read from documents have a quotation or an example, or are marked as rare."""
+    return t, [Finding("evidence", f"{m.name}.{f.name}", "no quotation and no example", level="info") for m in t.models if m.induced for f in m.fields if not f.evidence and not f.examples and not f.description.startswith("Rare:")]
+
+
 def reachable(t: Template) -> tuple[Template, list[Finding]]:
     depth = edge_depths(t)
     lost = [m.name for m in t.models if m.name not in depth]
@@ -237,7 +270,7 @@ def unknown_types(t: Template) -> tuple[Template, list[Finding]]:
     return _fields(t, lambda m, f: replace(f, type="str", role="property" if f.role == "edge" else f.role) if f.type not in known else f), [Finding("types", f"{a}.{b}", f"{c} isn't known", True) for a, b, c in bad]
 
 
-RULES: tuple[Rule, ...] = (names, unknown_types, enums, identity, component_edges, labels, references, cycles, canonical_home, reachable, nesting, digit_honesty, invented_ids, cardinality, descriptions, root_lists, examples, role_data)
+RULES: tuple[Rule, ...] = (names, unknown_types, enums, identity, component_edges, labels, references, cycles, canonical_home, closed_homes, reachable, nesting, digit_honesty, invented_ids, cardinality, sentence_order, descriptions, root_lists, examples, role_data, evidence)
 
 
 def lint(t: Template, repair: bool = True, strict: bool = False) -> tuple[Template, list[Finding]]:

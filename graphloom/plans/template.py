@@ -38,17 +38,19 @@ class Field:
     closed_catalog: bool = False
     description: str = ""
     examples: tuple[str, ...] = ()
+    evidence: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
 class Model:
-    """entity: its rows are nodes; else a component, which stays inside the node above it."""
+    """entity: its rows are nodes; else a component, which stays inside the node above it. induced: its fields were read from documents, so they ought to have evidence."""
 
     name: str
     fields: tuple[Field, ...] = ()
     entity: bool = True
     max_instances: int | None = None
     description: str = ""
+    induced: bool = False
 
     @property
     def identity(self) -> list[str]:
@@ -145,7 +147,7 @@ class Template:
 
     @staticmethod
     def from_dict(d: dict[str, Any]) -> Template:
-        models = tuple(Model(m["name"], tuple(Field(**(f | {"examples": tuple(f.get("examples", ()))})) for f in m.get("fields", ())), m.get("entity", True), m.get("max_instances"), m.get("description", "")) for m in d["models"])
+        models = tuple(Model(m["name"], tuple(Field(**(f | {k: tuple(f.get(k, ())) for k in ("examples", "evidence")})) for f in m.get("fields", ())), m.get("entity", True), m.get("max_instances"), m.get("description", ""), m.get("induced", False)) for m in d["models"])
         enums = tuple(Enum(e["name"], tuple(e["members"]), dict(e.get("synonyms", {})), e.get("other", "OTHER")) for e in d.get("enums", ()))
         return Template(d["root"], models, enums)
 
@@ -212,7 +214,7 @@ def render(t: Template) -> str:
     for m in t.models:
         lines.append(f"        Model({m.name!r}, (")
         lines += [f"            {f!r}," for f in m.fields]
-        lines.append(f"        ), entity={m.entity!r}, max_instances={m.max_instances!r}, description={m.description!r}),")
+        lines.append(f"        ), entity={m.entity!r}, max_instances={m.max_instances!r}, description={m.description!r}, induced={m.induced!r}),")
     lines += ["    ),", f"    enums={t.enums!r},", ")", ""]
     return "\n".join(lines)
 

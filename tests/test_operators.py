@@ -494,3 +494,24 @@ def test_tables_of_the_catalog(spark):
     spark.sql("DROP TABLE graphloom_numbers")
     with pytest.raises(ValueError):
         tables.read(spark, "other", "x")
+
+
+def test_lint_closed_homes_sentence_order_and_evidence():
+    from graphloom.plans import lint
+
+    long = "At most 3 of them. " + "It is not a bill. " + "A paper that says who owes what to whom. " * 8
+    t = Template(
+        "A",
+        (
+            Model("A", (Field("no", "str", "identity", examples=("A1",)), Field("kind", "Kind", "edge", reference=True, closed_catalog=True), Field("b", "B", "edge", True)), description=long, induced=True),
+            Model("B", (Field("name", "str", "identity"), Field("x", evidence=("x is 1",)), Field("y", description="Rare: seldom"), Field("z")), induced=True),
+            Model("Kind", (Field("code", "str", "identity", examples=("K1",)),)),
+        ),
+    )
+    new, found = lint.lint(t)
+    rules = {(f.rule, f.where) for f in found}
+    assert ("closed_catalog", "A.kind") in rules and ("sentence_order", "A") in rules
+    assert {w for r, w in rules if r == "evidence"} == {"A.kind", "A.b", "B.name", "B.z"}
+    assert not next(f for f in new.model("A").fields if f.name == "kind").closed_catalog
+    assert new.model("A").description.startswith("A paper") and len(new.model("A").description) <= lint.DOC_BUDGET
+    assert lint.lint(new)[0] == new
