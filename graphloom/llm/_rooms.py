@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._prefixes import candidates, levels, prefixes, whole_rooms
 from ._stage import BROADCAST_BYTES, importable, sized, split, staged
 from ._text import give_back, gram_sets, slices
 
@@ -152,27 +153,6 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _whole(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of whole rooms, about so many rows together."""
-    held: list[pa.RecordBatch] = []
-    total = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        if total >= rows:
-            # the room that goes on in this batch belongs to what is held
-            new = np.flatnonzero(b["room"].to_numpy() != held[-1]["room"][len(held[-1]) - 1].as_py())
-            if len(new):
-                k = int(new[0])
-                yield pa.Table.from_batches([*held, b.slice(0, k)]).combine_chunks()
-                held, total = [], 0
-                b = b.slice(k)
-        held.append(b)
-        total += b.num_rows
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def classes(docs: DataFrame, n: int, keys: Keys) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep, copies), a row for each document and its set, rep the lowest id that has the set, copies whether another has it; and (rep, one, size, keys, bits), a row for each set, with a sum of its hashes. Documents without a word have no set and no row."""
 
@@ -216,8 +196,8 @@ def _sums(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
 
 
-def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
-    """Staged (rep, root, links): in some room, rep has so many links and is connected with root; and the members (doc_id, rep, copies) of classes. A pair of classes has its link in one room, the first in which it meets."""
+def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs, block_grams: int = BLOCK_GRAMS, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Staged (rep, root, links): in some room, rep has so many links and is connected with root; and the members (doc_id, rep, copies) of classes. A pair of classes has its link in one room, the first in which it meets. whole: pairs that agree in no key are found too, see _rest."""
     importable(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
     members, reps = classes(own, n, keys)
@@ -235,8 +215,38 @@ def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs, block_g
     low, high = F.least("block", "other"), F.greatest("block", "other")
     entered = dealt.select("room", (low * F.lit(1 << 32) + high).alias("part"), "slot", "rep", "one", (F.col("block") == low).alias("side"), "size", F.expr("slice(keys, 1, slot)").alias("keys"), "bits")
 
+    met = _met(entered, own, n, t, pairs)
+    return (met.unionByName(_rest(met, members, reps, own, n, t, pairs, block_grams)) if whole else met), members
+
+
+def _rest(met: DataFrame, members: DataFrame, reps: DataFrame, own: DataFrame, n: int, t: float, pairs: Pairs, block_grams: int) -> DataFrame:
+    """Staged (rep, root, links) of all similar pairs that agree in no key, whatever the keys. Who is connected by met has a room in common, where those meet that agree in none of all keys. Others are candidates of the prefix filter, each in a room of its lower id, on the one side, with its partners on the other."""
+    parts = staged(components(met.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep"))
+    inside = reps.join(parts, "rep")
+    blocks = inside.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).filter("m > 2").select("root", F.ceil(F.col("grams") / block_grams).cast("int").alias("blocks"))
+    dealt = inside.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("rep", "one"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    within = dealt.select(F.col("root").alias("room"), (low * F.lit(1 << 32) + high).alias("part"), F.lit(0).alias("slot"), "rep", "one", (F.col("block") == low).alias("side"), "size", "keys", "bits")
+
+    gone = staged(members.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("own")).filter("not own").select("doc_id"))
+    texts = split(own, F.col("doc_id"), gone, gone.count())[1]
+    found = staged(prefixes(texts, n, t, levels(texts, n)))
+    found = found.join(parts, "rep", "left").withColumn("part", F.coalesce("root", "rep"))
+    asked = staged(candidates(found, t).select(F.col("a").alias("room"), F.col("b").alias("rep")))
+    partner = asked.join(reps, "rep")
+    blocks = partner.groupBy("room").agg(F.ceil(F.sum("size") / block_grams).cast("int").alias("blocks"))
+    none = F.array().cast("array<long>").alias("keys")
+    one = blocks.withColumn("part", F.explode(F.expr("sequence(1L, blocks)"))).withColumn("rep", F.col("room")).join(reps, "rep")
+    one = one.select("room", "part", F.lit(1).alias("slot"), "rep", "one", F.lit(True).alias("side"), "size", none, "bits")
+    partner = partner.join(blocks, "room").select("room", (F.pmod(F.xxhash64("rep", "one"), F.col("blocks")) + 1).alias("part"), F.lit(1).alias("slot"), "rep", "one", F.lit(False).alias("side"), "size", none, "bits")
+    return _met(within.unionByName(one).unionByName(partner), own, n, t, pairs)
+
+
+def _met(entered: DataFrame, own: DataFrame, n: int, t: float, pairs: Pairs) -> DataFrame:
+    """Staged (rep, root, links) of the rooms that are entered."""
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _whole(batches):
+        for g in whole_rooms(batches):
             keep = _kept(g, t)
             if keep.any():
                 yield from g.drop_columns(["bits"]).filter(pa.array(keep)).combine_chunks().to_batches()
@@ -289,7 +299,7 @@ def similar(docs: DataFrame, n: int, t: float, keys: Keys, pairs: Pairs, block_g
         texts = split(texts, F.col("rep"), who, who.count())[0]
     sent = texts.join(sized(going, taken, ROW_BYTES), "rep").unionByName(seats.drop("size"), allowMissingColumns=True)
     met = sent.repartition("room", "part").sortWithinPartitions("room", "part", "slot", F.col("text").isNotNull()).mapInArrow(meet, "rep long, root long, links long")
-    return staged(met), members
+    return staged(met)
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:

@@ -9,11 +9,13 @@ each entry. Documents that can still reach the overlap are looked up in the long
 binary search, and those that reach it stay. Where so many are left that to search is
 dearer than to merge, the long lists are merged too.
 
-A pair meets if it agrees in a whole one of BANDS bands of ROWS minima of its grams under
-different hash functions. A pair of similarity J is missed with probability
-(1 - J ** ROWS) ** BANDS: with 40 bands of 2 rows 0.1 % at J = 0.4, 0.001 % at J = 0.5.
-What meets is decided exactly. One minimum for a key would let all documents with one
-common passage meet; two let hardly any but similar ones.
+A pair meets in a room if it agrees in a whole one of BANDS bands of ROWS minima of its
+grams under different hash functions, and what meets is decided exactly. One minimum for
+a key would let all documents with one common passage meet; two let hardly any but
+similar ones. A pair of similarity J agrees in no band with probability
+(1 - J ** ROWS) ** BANDS: with 40 bands of 2 rows 0.1 % at J = 0.4. Those pairs are found
+by an exact prefix filter (see _rooms._rest and _prefixes), so that none is missed
+whatever the bands.
 """
 
 from __future__ import annotations
@@ -130,7 +132,7 @@ def t_occurrence(sets: list[np.ndarray], others: _rooms.Others, t: float) -> Ite
 
 
 def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    return _rooms.similar(docs, n, threshold, minima(bands, rows), t_occurrence)
+    return _rooms.similar(docs, n, threshold, minima(bands, rows), t_occurrence, whole=True)
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
