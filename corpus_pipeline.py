@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join
-from graphloom.llm._stage import staged
+from graphloom.llm._stage import placed, staged
 
 #: Target weights are the sources' bytes to this power: large sources lose share to small ones.
 EXPONENT = 0.9
@@ -36,8 +36,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids."""
-    return byte_bpe.encoded(docs, cache=WORDS)
+    """The documents' token ids in the order in which the mixing wrote the documents, with their places in it."""
+    ordered = placed(docs.select("doc_id", "text"), "place").orderBy("place")
+    return byte_bpe.encoded(ordered, cache=WORDS, place="place")
 
 
 STAGES = [("language_id", identify), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("mixing", mix), ("byte_bpe", encode)]

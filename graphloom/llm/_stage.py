@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,31 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """df and the place of each row in it, a long that ascends: in the order in which they were written if df is a Parquet table, whose readers take files by size, else in that of df's rows. Places of a whole table are 0, 1 and so on. A row for each file comes to the driver."""
+    try:
+        at = df.metadataColumn("_metadata")
+        file, row = fresh(df, "__file"), fresh(df, "__row")
+        d = df.select("*", at.getField("file_path").alias(file), at.getField("row_index").alias(row))
+    except AnalysisException:  # not a Parquet table
+        return df.withColumn(name, F.monotonically_increasing_id())
+    before, rows = 0, []
+    found = d.groupBy(file).agg(F.max(row).alias("last")).collect()
+    for path, last in sorted(found, key=lambda r: _part(r[0])):
+        rows.append((path, before))
+        before += last + 1
+    base = fresh(d, "__before")
+    begin = F.broadcast(df.sparkSession.createDataFrame(rows, f"{file} string, {base} long"))
+    return d.join(begin, file).select(*(d[f"`{c}`"] for c in df.columns), (F.col(base) + F.col(row)).alias(name))
+
+
+def _part(path: str) -> tuple[str, int, str]:
+    """Sorts the files of a table as their tasks were numbered, which have five digits or more."""
+    folder, _, file = path.rpartition("/")
+    number = re.match(r"part-(\d+)", file)
+    return folder, int(number[1]) if number else -1, file
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes what this application staged; for when its results have been written."""
     jvm = spark.sparkContext._jvm

@@ -216,9 +216,10 @@ def held(path: str = VOCABULARY, pattern: str = PATTERN) -> Bpe:
     return _HELD[path, pattern]
 
 
-def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, cache: int = CACHE) -> DataFrame:
-    """(doc_id, token_ids, n_tokens, round_trip) for every row: round_trip tells whether decoding the ids gives the text's bytes. A null text has null in all three; an empty one has no tokens. Rows without doc_id and repeated rows stay. cache: words that a worker remembers, about 350 bytes each; fewer take more time."""
+def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, cache: int = CACHE, place: str | None = None) -> DataFrame:
+    """(doc_id, token_ids, n_tokens, round_trip) for every row, in the order of the rows: round_trip tells whether decoding the ids gives the text's bytes. A null text has null in all three; an empty one has no tokens. Rows without doc_id and repeated rows stay. cache: words that a worker remembers, about 350 bytes each; fewer take more time. place: a column of longs that goes along."""
     importable(docs.sparkSession)
+    along = [place] if place else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held(path, pattern)
@@ -232,10 +233,10 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, cac
                 offsets = pa.array(at.astype(np.int32), mask=np.array([*(t is None for t in texts), False]))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
                 n = pa.array(np.diff(at).astype(np.int32), mask=null.to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([b["doc_id"], lists, n, pa.array(same, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "round_trip"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], lists, n, pa.array(same, pa.bool_()), *(b[c] for c in along)], ["doc_id", "token_ids", "n_tokens", "round_trip", *along])
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text", *along).mapInArrow(run, "".join(["doc_id long, token_ids array<int>, n_tokens int, round_trip boolean", *(f", {c} long" for c in along)]))
 
 
 _UNKNOWN = "\ufffd".encode()
