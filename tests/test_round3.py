@@ -27,3 +27,14 @@ def test_dense_extraction_shuffles_nothing(spark):
     (r,) = found.records.collect()
     assert r.k == 1 and json.loads(found.records.select(F.to_json("record")).first()[0]) == {"number": "7", "status": "O", "lines": [{"item": "a", "flag": "N", "quantity": 3}]}
     assert [(x.document, x.instance, x.parent, x.rung) for x in found.instances.collect()] == [(1, "lines[]|item=a", "", "root")]
+
+
+def test_short_values_are_searched_as_words_of_their_own():
+    assert dense._spans(["7"], ["item 17 of 70", "order 7, again 7"]) == [(1, 6, 7)]
+    assert dense._spans(["100", "AB"], ["x1001", "is 100.", "cab ab"]) == [(1, 3, 6), (2, 4, 6)]
+    assert len(dense._spans(["long one"], ["a Long One b"] * 9)) == 9
+
+
+def test_ledger_shows_what_was_searched(spark):
+    docs = spark.createDataFrame([(k, f"This is order {k} of status O.") for k in (5, 50, 500, 5000)], "k long, text string")
+    assert {r.kind for r in dense.dense(docs, "k", ORDER, Clerk).ledger.collect()} == {"verbatim"}
