@@ -13,6 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.build import Graph
 from ..operators.merge import fold_edges, fold_nodes
 
+#: Rows that a worker hands on at once.
+_SLICE = 10_000
+
 
 def windowed(events: DataFrame, ts: str, keys: list[str], window: str, late: str, slide: str | None = None) -> DataFrame:
     """(begins, keys..., events) of tumbling or sliding windows; events later than the watermark don't count."""
@@ -61,7 +64,7 @@ def follow(records: DataFrame, to_graph, path: str, checkpoint: str, once: bool
 
 
 def running_parents(events: DataFrame, key: str, ts: str, is_parent: str, late: str, idle_ms: int = 3_600_000) -> DataFrame:
-    """(key, event_id, parent): for each event of a key, in the order in which they come, the last event up to it that is a parent; the state holds one id a key. A key that has no event until the watermark has gone on by idle_ms forgets its parent. events: (key, event_id, ts, and the boolean column is_parent)."""
+    """(key, event_id, parent): for each event of a key, in the order of ts and event_id within what a batch of the stream brings, the last event up to it that is a parent; the state holds one id a key. A key that has no event until the watermark has gone on by idle_ms forgets its parent. events: (key, event_id, ts, and the boolean column is_parent)."""
     kind = dict(events.dtypes)[key]
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -69,13 +72,15 @@ def running_parents(events: DataFrame, key: str, ts: str, is_parent: str, late:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        for pdf in frames:
-            pdf = pdf.sort_values([ts, "event_id"])
+        # a key's rows of one batch come in several frames, in no order among them; three columns of one key are held
+        rows = pd.concat([pdf[[ts, "event_id", is_parent]] for pdf in frames]).sort_values([ts, "event_id"], ignore_index=True)
+        for i in range(0, len(rows), _SLICE):
+            part = rows.iloc[i : i + _SLICE]
             out = []
-            for e, p in zip(pdf["event_id"], pdf[is_parent]):
+            for e, p in zip(part["event_id"], part[is_parent]):
                 last = int(e) if p else last
                 out.append(last)
-            yield pd.DataFrame({key: k[0], "event_id": pdf["event_id"].to_numpy(), "parent": pd.array(out, dtype="Int64")})
+            yield pd.DataFrame({key: k[0], "event_id": part["event_id"].to_numpy(), "parent": pd.array(out, dtype="Int64")})
         state.update((last,))
         mark = state.getCurrentWatermarkMs()
         state.setTimeoutTimestamp(max(mark, 0) + idle_ms)
