@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.extraction_queries import ORDER, Clerk
 from graphloom.functions import text
-from graphloom.operators import dense
+from graphloom.operators import dense, stats
+from graphloom.operators.build import Graph
 
 WORDS = ["The Café's  Noir", "an ÆON", "İstanbul ﬁn", "the", "A  b-c_d", "Straße 5½", "x’s y's", "", "  KK ", "áb"]
 
@@ -38,3 +39,72 @@ def test_short_values_are_searched_as_words_of_their_own():
 def test_ledger_shows_what_was_searched(spark):
     docs = spark.createDataFrame([(k, f"This is order {k} of status O.") for k in (5, 50, 500, 5000)], "k long, text string")
     assert {r.kind for r in dense.dense(docs, "k", ORDER, Clerk).ledger.collect()} == {"verbatim"}
+
+
+def _plain(near: dict, nodes: set) -> tuple[dict, tuple]:
+    """Betweenness and path summary by counting all shortest paths of all pairs."""
+    between, hops = dict.fromkeys(nodes, 0.0), []
+    far = {}
+    for s in near:
+        dist, count, queue = {s: 0}, {s: 1}, [s]
+        for v in queue:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], count[w] = dist[v] + 1, 0
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    count[w] += count[v]
+        far[s] = dist, count
+    for s in near:
+        d, c = far[s]
+        hops += [n for v, n in d.items() if s in nodes and v != s]
+        for t in d:
+            for v in nodes & d.keys():
+                if s < t and v not in (s, t) and d[v] + far[v][0][t] == d[t]:
+                    between[v] += c[v] * far[v][1][t] / c[t]
+    return between, (len(hops), sum(hops) / len(hops), max(hops))
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_trees_on_a_core_count_as_all_pairs(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    # cycles with trees on them, a lone tree, a pair, a lone node, a loop, a repeated edge, and ends that are no nodes
+    pairs = [(f"a{i}", f"a{(i + 1) % 6}") for i in range(6)] + [("a0", "a3")] + [(f"a{r.randrange(i)}", f"a{i}") for i in range(6, 20)]
+    pairs += [(f"t{r.randrange(i)}", f"t{i}") for i in range(1, 9)] + [("p", "q"), ("a1", "a1"), ("a1", "a0"), ("x", "a2"), ("y", "x"), ("t0", "z")]
+    nodes = {e for p in pairs for e in p} - {"x", "y", "z"} | {"lone"}
+    near: dict = {v: set() for p in pairs for v in p}
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    g = Graph(spark.createDataFrame([(v,) for v in sorted(nodes)], "node_id string"), spark.createDataFrame(pairs, "src string, dst string"))
+    between, summary = _plain(near, nodes)
+    assert tuple(stats.path_summary(g).first()) == pytest.approx(summary)
+    assert {x.node_id: x.betweenness for x in stats.betweenness(g).collect()} == pytest.approx(between)
+
+
+def test_a_large_star_is_quick():
+    near = {"m": [f"s{i}" for i in range(100_000)]} | {f"s{i}": ["m"] for i in range(100_000)}
+    up, core = stats._shrunk(near)
+    assert len(core) == 1 and len(up) == 100_000
+
+
+def test_stream_parents_go_by_time_over_many_frames(spark, tmp_path):
+    from graphloom.streaming.incremental import running_parents
+
+    n = 500
+    spark.range(n).selectExpr("1L as user", "id as event_id", f"timestamp_seconds(1000 + (id * 37) % {n}) as ts", "id % 7 = 0 as p").write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        out = running_parents(spark.readStream.schema("user long, event_id long, ts timestamp, p boolean").parquet(f"{tmp_path}/in"), "user", "ts", "p", "1 hour")
+        q = out.writeStream.format("memory").queryName("many_frames").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, last = {}, None
+    for e in sorted(range(n), key=lambda e: (e * 37 % n, e)):
+        last = e if e % 7 == 0 else last
+        want[e] = last
+    assert {r.event_id: r.parent for r in spark.table("many_frames").collect()} == want
