@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.extraction_queries import ORDER, Clerk
 from graphloom.functions import text
-from graphloom.operators import dense, stats
+from graphloom.operators import chunk, dense, stats
 from graphloom.operators.build import Graph
 
 WORDS = ["The Café's  Noir", "an ÆON", "İstanbul ﬁn", "the", "A  b-c_d", "Straße 5½", "x’s y's", "", "  KK ", "áb"]
@@ -108,3 +108,12 @@ def test_stream_parents_go_by_time_over_many_frames(spark, tmp_path):
         last = e if e % 7 == 0 else last
         want[e] = last
     assert {r.event_id: r.parent for r in spark.table("many_frames").collect()} == want
+
+
+def test_chunks_are_whole_in_slices(spark, monkeypatch):
+    texts = [(k, f"w{k} " * 900) for k in range(40)]
+    docs = spark.createDataFrame(texts, "k long, text string").coalesce(1)
+    monkeypatch.setattr(chunk, "_HELD", 1000)
+    assert "MapInArrow" in chunk.chunks(docs, "k")._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.k, r.chunk_id, r.text) for r in chunk.chunks(docs, "k", limit=100).collect())
+    assert got == [(k, i, c) for k, t in texts for i, c in enumerate(chunk.split_text(t, 100))]
